@@ -144,35 +144,44 @@ def stated(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Readings as exact numbers with a source unit and the canonical target: adds ``field``'s ``_value``, ``_unit``,
     ``_target``. The unit is sought in the value, then in the unit text, for its scale then in the source's note, last
     in the field's own name. Nothing that can't be told gets a unit."""
-    note = F.lower(F.coalesce("_note", F.lit("")))
-    value, own = F.lower(F.coalesce("value_text", F.lit(""))), F.lower(F.coalesce("unit_text", F.lit("")))
-    after = F.regexp_replace(value, r"^.*?" + _NUMBER, "")
-    words = F.concat_ws(" ", after, own)
-    hourly = words.rlike(r"hour|/\s*hr|\bhrs?\b|\bh\b")
-    hours = F.regexp_extract(words, r"(\d+(?:\.\d+)?)\s*(?:hours|hrs|hr|h)\b", 1).try_cast("decimal(10,4)")
-    hours_year = words.rlike(r"(hours|hrs|hr|h)\b\s*(a|per|/)\s*y(ea)?r")
-    named = F.when(F.col("field") == "gross_annual_taxable_wages", "year").otherwise("month")
-    pay = frequency(F.col("pay_frequency"))
-    said = F.coalesce(period(after), period(own))
-    per = F.when(hourly, F.when(hours_year, "year").otherwise("week")).otherwise(F.when(said == "pay", pay).otherwise(F.coalesce(said, named)))
-    scale = (
-        F.when(words.rlike(r"\bcents?\b|¢"), "cent")
-        .when(after.rlike(r"^\s*k\b|thousand|\$?000s") | own.rlike(r"thousand|\bk\b|\$000"), "thousand")
-        .when(value.rlike(r"\$|usd|dollar") | own.rlike(r"\$|usd|dollar"), "dollar")
-        .when(note.rlike(r"\bcents\b"), "cent")
-        .when(note.rlike(r"thousand|\$?000"), "thousand")
-        .otherwise("dollar")
-    )
-    many = F.when(hourly, hours).otherwise(F.lit(1))
-    money = F.when(own.rlike("#") | value.rlike("#"), None).otherwise((amount(value) * many).cast("decimal(28,6)"))
+    noted = sources.select(F.col("source_id").alias("_source"), F.lower(F.coalesce("note", F.lit(""))).alias("_note"))
     is_frequency = F.col("field") == "pay_frequency"
-    noted = sources.select(F.col("source_id").alias("_source"), F.col("note").alias("_note"))
+    after, own, words, value = F.col("_after"), F.col("_own"), F.col("_words"), F.col("_low")
+    # Each step is a projection of its own, so that no regular expression is evaluated twice.
+    at = (
+        rows.join(F.broadcast(noted), rows["source_id"] == noted["_source"], "left")
+        .withColumns({"_low": F.lower(F.coalesce("value_text", F.lit(""))), "_own": F.lower(F.coalesce("unit_text", F.lit("")))})
+        .withColumn("_after", F.regexp_replace("_low", r"^.*?" + _NUMBER, ""))
+        .withColumn("_words", F.concat_ws(" ", "_after", "_own"))
+        .withColumns(
+            {
+                "_hourly": words.rlike(r"hour|/\s*hr|\bhrs?\b|\bh\b"),
+                "_hours": F.regexp_extract(words, r"(\d+(?:\.\d+)?)\s*(?:hours|hrs|hr|h)\b", 1).try_cast("decimal(10,4)"),
+                "_said": F.coalesce(period(after), period(own)),
+                "_pay": frequency(F.when(is_frequency, F.col("value_text")).otherwise(F.col("pay_frequency"))),
+                "_amount": F.when(~own.contains("#") & ~value.contains("#"), amount(value)),
+            }
+        )
+        .withColumns(
+            {
+                "_per": F.when(F.col("_hourly"), F.when(words.rlike(r"(hours|hrs|hr|h)\b\s*(a|per|/)\s*y(ea)?r"), "year").otherwise("week"))
+                .when(F.col("_said") == "pay", F.col("_pay"))
+                .otherwise(F.coalesce("_said", F.when(F.col("field") == "gross_annual_taxable_wages", "year").otherwise("month"))),
+                "_scale": F.when(words.rlike(r"\bcents?\b|¢"), "cent")
+                .when(after.rlike(r"^\s*k\b|thousand|\$?000s") | own.rlike(r"thousand|\bk\b|\$000"), "thousand")
+                .when(value.rlike(r"\$|usd|dollar") | own.rlike(r"\$|usd|dollar"), "dollar")
+                .when(F.col("_note").rlike(r"\bcents\b"), "cent")
+                .when(F.col("_note").rlike(r"thousand|\$?000"), "thousand")
+                .otherwise("dollar"),
+            }
+        )
+    )
+    money = (F.col("_amount") * F.when(F.col("_hourly"), F.col("_hours")).otherwise(F.lit(1))).cast("decimal(28,6)")
     return (
-        rows.join(noted, rows["source_id"] == noted["_source"], "left")
-        .withColumn("_value", F.when(is_frequency, F.lit(1).cast("decimal(28,6)")).otherwise(money))
-        .withColumn("_unit", F.when(is_frequency, F.concat(F.lit("pays@"), frequency(F.col("value_text")))).otherwise(F.concat(scale, F.lit("/"), per)))
+        at.withColumn("_value", F.when(is_frequency, F.lit(1).cast("decimal(28,6)")).otherwise(money))
+        .withColumn("_unit", F.when(is_frequency, F.concat(F.lit("pays@"), "_pay")).otherwise(F.concat("_scale", F.lit("/"), "_per")))
         .withColumn("_target", F.when(is_frequency, "pays/year").when(F.col("field") == "gross_annual_taxable_wages", "cent/year").when(F.col("field") == "employee_monthly_allotment", "cent/month"))
-        .drop("_source", "_note")
+        .drop("_source", "_note", "_low", "_own", "_after", "_words", "_hourly", "_hours", "_said", "_pay", "_amount", "_per", "_scale")
     )
 
 

@@ -33,7 +33,7 @@ o as (
   select coalesce(a.series_id, b.series_id) as series_id, coalesce(a.seq + 1, b.seq) as seq, coalesce(a.field, b.field) as field,
     unnest(list_filter([
       case when a.seq is null then 'added' end, case when b.seq is null then 'removed' end,
-      case when a.headers <> b.headers then 'renamed' end, case when a.is_text <> b.is_text then 'retyped' end], x -> x is not null)) as change
+      case when a.headers <> b.headers then 'renamed' end, case when a.is_text <> b.is_text then 'retyped' end], lambda x: x is not null)) as change
   from s a full join s b on a.series_id = b.series_id and a.seq + 1 = b.seq and a.field = b.field)
 select f.file_id, o.field, o.change from o join f on o.series_id = f.series_id and o.seq = f.seq where o.seq > 1
 """
