@@ -1,4 +1,39 @@
 """Queries of the training-data problems."""
 
-QUERIES = {}
-SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tieout.llm.people import employee_groups
+from tieout.llm.survivor import survivors
+from tieout.plans.lineage import cut
+from tieout.sources.tables import table
+
+
+def _repeated(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    """Census rows of employees with two or more rows in a pack, with group_id, source and order."""
+    census = table(spark, d, "census")
+    groups = cut(employee_groups(census))
+    many = groups.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").select("group_id")
+    rows = groups.join(many, "group_id").select("rec_id", "group_id")
+    when = F.concat_ws(" ", F.date_format("loaded_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.format_string("%05d %09d", F.coalesce("file_ord", F.lit(0)), F.coalesce("row_ord", F.lit(0))))
+    return census.select("rec_id", F.concat_ws("/", "pack_id", "file_ord").alias("source"), when.alias("last"), *columns).join(rows, "rec_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """(group_id, first_name, last_name): the surviving name of each repeated employee."""
+    fields = ["employee_first_name", "employee_last_name"]
+    out = survivors(_repeated(spark, d, fields), dict.fromkeys(fields, "name"), group="group_id", source="source", last="last")
+    return out.select("group_id", F.col("employee_first_name").alias("first_name"), F.col("employee_last_name").alias("last_name"))
+
+
+def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving row of each repeated employee, field by field."""
+    named = ["employee_first_name", "employee_last_name"]
+    plain = "employee_id state gross_annual_taxable_wages pay_frequency federal_w4_marital_status w4_year dependents step2c step3 group_health_monthly other_monthly_pretax retirement_401k_monthly additional_federal additional_state census_socialsec census_medicare".split()
+    return survivors(_repeated(spark, d, named + plain), dict.fromkeys(named, "name") | dict.fromkeys(plain, "plain"), group="group_id", source="source", last="last")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_survivors": p3_survivors}
+SQL: dict[str, str] = {}
