@@ -94,6 +94,7 @@ def codes(parts: tuple[str, ...]) -> set[str]:
         x, y = sorted((sound(a), sound(b)))
         out.add(f"{x}.{y}")
         whole, rest = (sound(a, 9), sound(b, 3)) if len(a) >= len(b) else (sound(b, 9), sound(a, 3))
+        out.add(f"-{whole}.{rest}")
         for i in range(len(whole)):
             out.add(f"-{whole[:i] + whole[i + 1 :]}.{rest}")
         for i in range(len(rest)):

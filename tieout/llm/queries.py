@@ -5,8 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.llm.components import components
 from tieout.llm.people import employee_groups
 from tieout.llm.survivor import survivors
+from tieout.llm.variants import accepted_pairs, alike_names, is_pseudo, typed
 from tieout.plans.lineage import cut
 from tieout.sources.tables import table
 
@@ -35,5 +37,38 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors(_repeated(spark, d, named + plain), dict.fromkeys(named, "name") | dict.fromkeys(plain, "plain"), group="group_id", source="source", last="last")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_survivors": p3_survivors}
+def _variant_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    packs = table(spark, d, "pack").where("id_scheme = 'none'").select("pack_id")
+    census = table(spark, d, "census").join(packs, "pack_id", "left_semi")
+    proposal = table(spark, d, "proposal").join(packs, "pack_id", "left_semi").where(~is_pseudo("first_name"))
+    return census, proposal.select("rec_id", "pack_id", "first_name", "last_name", F.col("annual_salary").alias("pay"), typed("first_name", "last_name").alias("name"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """(rec_id, side, cluster_id): census and proposal rows of packs without shared ids, one cluster per employee."""
+    census, proposal = _variant_rows(spark, d)
+    groups = cut(employee_groups(census))
+    named = census.select("rec_id", typed("employee_first_name", "employee_last_name").alias("name"), F.col("gross_annual_taxable_wages").alias("pay"))
+    people = groups.select("rec_id", "pack_id", "group_id").join(named, "rec_id")
+    pairs = alike_names(people, proposal, within="pack_id", least=0.75)
+    accepted = accepted_pairs(pairs, people, proposal, within="pack_id").select("pack_id", F.col("name").alias("_name"), F.col("pay").alias("_pay"), "group_id")
+    mine = proposal.join(accepted.withColumnRenamed("pack_id", "_pack"), (F.col("pack_id") == F.col("_pack")) & (F.col("name") == F.col("_name")) & F.col("pay").eqNullSafe(F.col("_pay")))
+    edges = mine.select(F.col("rec_id").alias("a"), F.col("group_id").alias("b")).unionByName(groups.select(F.col("rec_id").alias("a"), F.col("group_id").alias("b")))
+    found = components(edges)
+    side = F.when(F.col("s") == 1, "census").otherwise("proposal").alias("side")
+    sides = census.select("rec_id", F.lit(1).alias("s")).unionByName(proposal.select("rec_id", F.lit(2).alias("s")))
+    return sides.join(found, F.col("rec_id") == F.col("node"), "left").select("rec_id", side, F.coalesce("component", "rec_id").alias("cluster_id"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id_a, id_b): census and proposal rows of one employee whose names are typed differently."""
+    census, proposal = _variant_rows(spark, d)
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    clusters = cut(p6_clusters(spark, d))
+    a = census.select("rec_id", plain("employee_first_name").alias("af"), plain("employee_last_name").alias("al")).join(clusters.where("side = 'census'"), "rec_id").select(F.col("rec_id").alias("id_a"), "cluster_id", "af", "al")
+    b = proposal.select("rec_id", plain("first_name").alias("bf"), plain("last_name").alias("bl")).join(clusters.where("side = 'proposal'"), "rec_id").select(F.col("rec_id").alias("id_b"), "cluster_id", "bf", "bl")
+    return a.join(b, "cluster_id").where("af <> bf or al <> bl").select("id_a", "id_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_clusters": p6_clusters}
 SQL: dict[str, str] = {}

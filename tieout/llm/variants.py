@@ -59,3 +59,34 @@ def pay_evidence(stated: Column, known: Column) -> Column:
         .when(near(known * 1.015, known * 0.018), 0.5)
         .otherwise(-1.0)
     )
+
+
+#: A name is accepted when its least alike parts are this alike; with agreeing pay, when they are at least so.
+WORST, WORST_WITH_PAY = 0.86, 0.6
+#: What being the sure match of another row takes from an employee, for rows that could be several employees.
+CLAIMED = 0.3
+
+
+def accepted_pairs(pairs: DataFrame, people: DataFrame, rows: DataFrame, *, within: str) -> DataFrame:
+    """(within, name, pay, group_id): for every distinct (name, pay) of ``rows`` the employee it is accepted to name.
+
+    ``pairs``: ``alike_names`` of people's names a and rows' names b; ``people``: (within, name, pay, group_id); pay may
+    be null on either side. A pair is accepted if all its parts are alike and the pay doesn't speak against it, or the
+    pay agrees and the parts aren't unlike. Of several employees the best by name and pay is taken; where the pay says
+    nothing, employees that are the sure match of another name come after others. Ties go to the smallest group."""
+    known = people.select(within, F.col("name").alias("a"), F.col("pay").alias("known"), "group_id").distinct()
+    asked = rows.select(within, F.col("name").alias("b"), "pay").distinct()
+    at = pairs.join(known, [within, "a"]).join(asked, [within, "b"]).withColumn("said", pay_evidence(F.col("pay"), F.col("known")))
+    fits = at.where(((F.col("worst") >= WORST) & (F.col("said") >= 0)) | ((F.col("said") >= 2) & (F.col("worst") >= WORST_WITH_PAY)))
+    scored = fits.groupBy(within, "b", "pay", "group_id").agg(F.max(F.col("like") * 10 + F.col("said")).alias("score"), F.max("said").alias("said"), F.max("like").alias("like"))
+    sure = _best(scored, within).where("said >= 2 or like >= 0.97").select(within, "group_id", F.col("b").alias("by"), F.col("pay").alias("by_pay"))
+    claims = sure.groupBy(within, "group_id").agg(F.min(F.struct("by", "by_pay")).alias("first"), F.max(F.struct("by", "by_pay")).alias("last"))
+    me = F.struct(F.col("b").alias("by"), F.col("pay").alias("by_pay"))
+    other = F.col("first").isNotNull() & ~(F.col("first").eqNullSafe(me) & F.col("last").eqNullSafe(me))
+    again = scored.join(claims, [within, "group_id"], "left").withColumn("score", F.col("score") - F.when(other & (F.col("said") <= 0), CLAIMED).otherwise(0.0))
+    return _best(again, within).select(within, F.col("b").alias("name"), "pay", "group_id")
+
+
+def _best(scored: DataFrame, within: str) -> DataFrame:
+    top = F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("group_id")).alias("less"), "said", "like")).alias("top")
+    return scored.groupBy(within, "b", "pay").agg(top).select(within, "b", "pay", (-F.col("top.less")).alias("group_id"), "top.score", "top.said", "top.like")
