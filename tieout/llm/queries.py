@@ -5,7 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tieout.functions.ids import same_id
 from tieout.llm.components import components
+from tieout.llm.entities import SAMPLE, Index, calibration, candidate_pairs, confidence, record_tokens
 from tieout.llm.people import employee_groups
 from tieout.llm.survivor import survivors
 from tieout.llm.variants import accepted_pairs, alike_names, is_pseudo, typed
@@ -70,5 +72,44 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "cluster_id").where("af <> bf or al <> bl").select("id_a", "id_b")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_clusters": p6_clusters}
+def _own_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of packs where each source numbers by itself: (rec_id, pack_id, side, entity, name, pays). Side 0 is the
+    census, its entity the employee; side 1 proposal rows and statements, their entity those with one id of their source."""
+    packs = table(spark, d, "pack").where("id_scheme = 'own'").select("pack_id")
+    census = table(spark, d, "census").join(packs, "pack_id", "left_semi")
+    dollars = lambda c: F.round(c).cast("int")
+    taxed = F.col("gross_annual_taxable_wages") - 12 * (F.coalesce("group_health_monthly", F.lit(0.0)) + F.coalesce("other_monthly_pretax", F.lit(0.0)))
+    a = census.select("rec_id", F.lit(0).alias("side"), typed("employee_first_name", "employee_last_name").alias("name"), F.array_compact(F.array(dollars("gross_annual_taxable_wages"), -dollars(taxed))).alias("pays"))
+    a = a.join(cut(employee_groups(census)).select("rec_id", "pack_id", F.col("group_id").alias("entity")), "rec_id")
+    entity = lambda kind, key: F.xxhash64(F.lit(kind), "pack_id", F.coalesce(same_id(key), F.concat(F.lit("-"), F.col("rec_id").cast("string"))))
+    b = table(spark, d, "proposal").join(packs, "pack_id", "left_semi").where(~is_pseudo("first_name"))
+    b = b.select("rec_id", F.lit(1).alias("side"), typed("first_name", "last_name").alias("name"), F.array_compact(F.array(dollars("annual_salary"), -dollars(F.col("taxable_income_before") * 12))).alias("pays"), "pack_id", entity("b", "client_employee_id").alias("entity"))
+    c = table(spark, d, "paycheck").select("rec_id", "pack_id", "name", "employee_id", "gross").join(packs, "pack_id", "left_semi")
+    c = c.select("rec_id", F.lit(1).alias("side"), F.trim(F.coalesce("name", F.lit(""))).alias("name"), F.array_compact(F.array(*(dollars(F.col("gross") * n) for n in (12, 24, 26, 52)))).alias("pays"), "pack_id", entity("c", "employee_id").alias("entity"))
+    return a, b.unionByName(c)
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    """(id_a, id_b, confidence): each census row with the proposal rows and statements of its employee."""
+    a, b = _own_records(spark, d)
+    rows = cut(a.unionByName(b))
+    shapes = rows.where("name <> ''").groupBy("pack_id", "side", "entity", "name", "pays").agg(F.lit(1).alias("_one")).drop("_one").withColumnRenamed("entity", "shape")
+    shapes = shapes.join(shapes.groupBy("pack_id").agg(F.count("*").alias("size")), "pack_id")
+    sample = shapes.select("name", "pays", F.xxhash64("pack_id", "side", "shape", "name").alias("h")).orderBy("h", "name").limit(SAMPLE).collect()
+    index = Index([record_tokens(r["name"], r["pays"] or []) for r in sample])
+    pairs = cut(candidate_pairs(shapes, index))
+    scored = pairs.withColumn("confidence", confidence(calibration(pairs)))
+    best = scored.groupBy("pack_id", F.col("b").alias("entity")).agg(F.max(F.struct("confidence", (-F.col("a")).alias("less"))).alias("top"))
+    chosen = best.where("top.confidence >= 0.5").select("pack_id", "entity", (-F.col("top.less")).alias("group_id"), "top.confidence")
+    ours = rows.where("side = 0").select("pack_id", F.col("entity").alias("group_id"), F.col("rec_id").alias("id_a"))
+    theirs = rows.where("side = 1").select("pack_id", "entity", F.col("rec_id").alias("id_b"))
+    return chosen.join(theirs, ["pack_id", "entity"]).join(ours, ["pack_id", "group_id"]).select("id_a", "id_b", F.round("confidence", 6).alias("confidence"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(id_a, id_b): the matches of ``p2_matches``."""
+    return p2_matches(spark, d).select("id_a", "id_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_clusters": p6_clusters}
 SQL: dict[str, str] = {}
