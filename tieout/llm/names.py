@@ -44,7 +44,7 @@ def repaired(s: str) -> str:
 @lru_cache(maxsize=200_000)
 def tokens(name: str) -> tuple[str, ...]:
     """Parts of a name in order: lower case without accents, particles joined to what follows, titles and endings
-    dropped, hyphens as breaks. Digits and question marks within a word stand for any letter, written ``?``."""
+    dropped, hyphens as breaks. ``rn`` and ``m``, ``vv`` and ``w`` are the same, as misread print is. Digits and question marks within a word stand for any letter, written ``?``."""
     s = unicodedata.normalize("NFKD", repaired(name))
     s = "".join(c for c in s if not unicodedata.combining(c)).lower()
     s = re.sub(r"['’`]", "", s)
@@ -52,7 +52,7 @@ def tokens(name: str) -> tuple[str, ...]:
     for t in re.findall(r"[^\W_](?:[^\W_]|\?)*|\?+[^\W_](?:[^\W_]|\?)*", s):
         if not any(c.isalpha() for c in t):
             continue
-        t = re.sub(r"\d", "?", t)
+        t = re.sub(r"\d", "?", t).replace("rn", "m").replace("vv", "w")
         if t in DROPPED:
             continue
         if t in PARTICLES and len(t) > 1:
@@ -205,6 +205,24 @@ def name_likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
         total += w * s
         weight += w
         whole += min(len(a[i]), len(b[j])) > 1 and s > 0.8
+    if len(a) != len(b) and max(len(a), len(b)) > 2:
+        return max(_score(total, weight, whole, a, b, ia, jb), _glued(a, b))
+    return _score(total, weight, whole, a, b, ia, jb)
+
+
+def _glued(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """The likeness when two neighbouring parts of the name with more parts are one part of the other."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    best = 0.0
+    for i in range(len(many) - 1):
+        if min(len(many[i]), len(many[i + 1])) > 2:
+            joined = many[:i] + (many[i] + many[i + 1],) + many[i + 2 :]
+            if len(joined) == len(few) and any(edits(many[i] + many[i + 1], t) <= 1 for t in few):
+                best = max(best, 0.99 * name_likeness(few, joined))
+    return best
+
+
+def _score(total: float, weight: float, whole: int, a: tuple[str, ...], b: tuple[str, ...], ia: set[int], jb: set[int]) -> float:
     lone = [x for i, x in enumerate(a) if i not in ia and len(x) > 1] + [y for j, y in enumerate(b) if j not in jb and len(y) > 1]
     for x in lone:
         weight += 0.25 * min(len(x), 6)
