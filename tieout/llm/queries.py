@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from tieout.functions.ids import same_id
 from tieout.llm.components import components
 from tieout.llm.entities import SAMPLE, Index, calibration, candidate_pairs, confidence, record_tokens
+from tieout.llm.leaks import leaks
+from tieout.llm.packing import packed
 from tieout.llm.people import employee_groups
+from tieout.llm.splitting import pieces
 from tieout.llm.survivor import survivors
+from tieout.llm.tokens import sizes
 from tieout.llm.variants import accepted_pairs, alike_names, is_pseudo, typed
 from tieout.plans.lineage import cut
 from tieout.sources.tables import table
@@ -111,5 +115,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_matches(spark, d).select("id_a", "id_b")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_clusters": p6_clusters}
+def _limits(spark: SparkSession, d: str, overlapping: bool) -> DataFrame:
+    return table(spark, d, "token_limit").where(F.coalesce("overlap_tokens", F.lit(0)) > 0 if overlapping else F.coalesce("overlap_tokens", F.lit(0)) == 0)
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """(limit_name, doc_id, piece, token_start, n_tokens, container_id): every document's container under each capacity."""
+    return packed(cut(sizes(table(spark, d, "documents"))), _limits(spark, d, False))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: items, tokens, containers, the fewest containers that could hold them, and the share left unused."""
+    used = p7_packed(spark, d).join(F.broadcast(_limits(spark, d, False).select("limit_name", "capacity_tokens")), "limit_name")
+    load = used.groupBy("limit_name", "capacity_tokens", "container_id").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    out = load.groupBy("limit_name", "capacity_tokens").agg(F.sum("n").alias("n_items"), F.sum("tokens").alias("n_tokens"), F.count("*").alias("n_containers"), F.max("tokens").alias("fullest"))
+    return out.withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("capacity_tokens"))).withColumn("unused", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id, held, words, same_slots, slots): evaluation items that leaked, and how much of each."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id) of ``p8_leaks``."""
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every document over each capacity, with the limits' overlaps."""
+    return pieces(table(spark, d, "documents"), _limits(spark, d, True))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_survivors": p3_survivors, "p6_found": p6_found, "p6_clusters": p6_clusters, "p7_packed": p7_packed, "p7_report": p7_report, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_pieces": p9_pieces}
 SQL: dict[str, str] = {}
