@@ -41,7 +41,7 @@ def repaired(s: str) -> str:
     return s
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=40_000)
 def tokens(name: str) -> tuple[str, ...]:
     """Parts of a name in order: lower case without accents, particles joined to what follows, titles and endings
     dropped, hyphens as breaks. ``rn`` and ``m``, ``vv`` and ``w`` are the same, as misread print is. Digits and question marks within a word stand for any letter, written ``?``."""
@@ -74,7 +74,7 @@ def sound(token: str, length: int = 6) -> str:
     return (out or token[:1])[:length]
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def full_forms(token: str) -> frozenset[str]:
     """The forenames that a token may stand for: itself, and those it is a short form of."""
     return _FULL.get(token, frozenset()) | {token}
@@ -114,7 +114,6 @@ def codes(parts: tuple[str, ...]) -> set[str]:
     return out
 
 
-@lru_cache(maxsize=500_000)
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro-Winkler similarity; ``?`` agrees with any letter."""
     if a == b:
@@ -144,9 +143,24 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + start * 0.1 * (1 - jaro)
 
 
-@lru_cache(maxsize=500_000)
 def edits(a: str, b: str) -> int:
-    """Letters to put in, take out, change or swap with a neighbour; ``?`` agrees with any letter."""
+    """Letters to put in, take out, change or swap with a neighbour; ``?`` agrees with any letter. What both begin and
+    end with is set aside first, so that little is left to compare."""
+    n, m = len(a), len(b)
+    i = 0
+    while i < n and i < m and (a[i] == b[i] or a[i] == "?" or b[i] == "?"):
+        i += 1
+    while n > i and m > i and (a[n - 1] == b[m - 1] or a[n - 1] == "?" or b[m - 1] == "?"):
+        n -= 1
+        m -= 1
+    a, b = a[i:n], b[i:m]
+    if not a or not b:
+        return max(len(a), len(b))
+    if len(a) == 1 or len(b) == 1:
+        short, long = (a, b) if len(a) == 1 else (b, a)
+        return len(long) - (short in long or "?" in long or short == "?")
+    if len(a) == 2 and a == b[::-1]:
+        return 1
     before, last = [], list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
         now = [i]
@@ -160,24 +174,28 @@ def edits(a: str, b: str) -> int:
     return last[-1]
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def token_likeness(a: str, b: str) -> float:
-    """How alike two parts of a name are, 0 to 1: equal, nickname, cut short, initial, else
-    Jaro-Winkler, held down where the parts differ by more than one edit."""
+    """How alike two parts of a name are, 0 to 1: equal, nickname, cut short, initial, else Jaro-Winkler, held down where
+    the parts differ by more than one edit. Parts that share less than half of their letters are unlike."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
         full = full_forms(a) if len(a) > 1 else full_forms(b)
         one = a if len(a) == 1 else b
         return 0.8 if any(f[0] == one or one == "?" or f[0] == "?" for f in full) else 0.0
-    if full_forms(a) & full_forms(b):
+    fa, fb = full_forms(a), full_forms(b)
+    if not fa.isdisjoint(fb):
         return 0.97
     x, y = (a, b) if len(a) <= len(b) else (b, a)
     if len(x) >= 3 and all(c == d or c == "?" or d == "?" for c, d in zip(x, y)):
         return 0.93
-    best = 0.0
-    for f in full_forms(a):
-        for g in full_forms(b):
+    best = 0.4
+    for f in fa:
+        for g in fb:
+            sf, sg = set(f), set(g)
+            if "?" not in sf and "?" not in sg and 2 * len(sf & sg) < max(len(sf), len(sg)):
+                continue
             near = jaro_winkler(f, g)
             if near > 0.8:
                 n = edits(f, g)
@@ -186,7 +204,7 @@ def token_likeness(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=40_000)
 def name_likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """How alike two names are whatever the order of their parts, 0 to 1: parts are paired best first, weighted by
     length; initials without a partner don't count, other parts without one count a little against."""
@@ -229,7 +247,7 @@ def _score(total: float, weight: float, whole: int, a: tuple[str, ...], b: tuple
     return total / weight if whole else 0.5 * total / weight
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=40_000)
 def worst_part(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """The likeness of the least alike pair when the parts are paired best first; initials count."""
     if not a or not b:
