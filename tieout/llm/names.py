@@ -144,8 +144,10 @@ def jaro_winkler(a: str, b: str) -> float:
 
 
 def edits(a: str, b: str) -> int:
-    """Letters to put in, take out, change or swap with a neighbour; ``?`` agrees with any letter. What both begin and
-    end with is set aside first, so that little is left to compare."""
+    """Letters to put in, take out, change or swap with a neighbour, 3 for any number over 2; ``?`` agrees with any letter.
+    What both begin and end with is set aside first, so that little is left to compare."""
+    if abs(len(a) - len(b)) > 2:
+        return 3
     n, m = len(a), len(b)
     i = 0
     while i < n and i < m and (a[i] == b[i] or a[i] == "?" or b[i] == "?"):
@@ -155,7 +157,7 @@ def edits(a: str, b: str) -> int:
         m -= 1
     a, b = a[i:n], b[i:m]
     if not a or not b:
-        return max(len(a), len(b))
+        return min(max(len(a), len(b)), 3)
     if len(a) == 1 or len(b) == 1:
         short, long = (a, b) if len(a) == 1 else (b, a)
         return len(long) - (short in long or "?" in long or short == "?")
@@ -170,8 +172,10 @@ def edits(a: str, b: str) -> int:
             if cost and i > 1 and j > 1 and c == b[j - 2] and a[i - 2] == d:
                 best = min(best, before[j - 2] + 1)
             now.append(best)
+        if min(now) > 2:
+            return 3
         before, last = last, now
-    return last[-1]
+    return min(last[-1], 3)
 
 
 @lru_cache(maxsize=100_000)
@@ -204,28 +208,44 @@ def token_likeness(a: str, b: str) -> float:
     return best
 
 
-@lru_cache(maxsize=40_000)
 def name_likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """How alike two names are whatever the order of their parts, 0 to 1: parts are paired best first, weighted by
-    length; initials without a partner don't count, other parts without one count a little against."""
+    """How alike two names are whatever the order of their parts, 0 to 1."""
+    return compared(a, b)[0]
+
+
+def worst_part(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """The likeness of the least alike pair when the parts are paired best first; initials count."""
+    return compared(a, b)[1]
+
+
+@lru_cache(maxsize=40_000)
+def compared(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float]:
+    """How alike two names are whatever the order of their parts, and the likeness of the least alike pair of parts.
+
+    Parts are paired best first, weighted by length; initials without a partner don't count, other parts without one
+    count a little against. Of the least alike, initials count where no longer part is left to pair."""
     if not a or not b:
-        return 0.0
+        return 0.0, 0.0
     if a == b:
-        return 1.0
-    pairs = sorted(((token_likeness(x, y), min(len(x), len(y)), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    ia, jb, total, weight, whole = set(), set(), 0.0, 0.0, 0
-    for s, _, i, j in pairs:
+        return 1.0, 1.0
+    pairs = sorted([(token_likeness(x, y), min(len(x), len(y)), i, j) for i, x in enumerate(a) for j, y in enumerate(b)], reverse=True)
+    ia, jb, total, weight, whole, worst = set(), set(), 0.0, 0.0, 0, 1.0
+    longer = min(sum(len(t) > 1 for t in a), sum(len(t) > 1 for t in b))
+    for s, short, i, j in pairs:
         if i in ia or j in jb:
             continue
         ia.add(i)
         jb.add(j)
-        w = min(max(len(a[i]), len(b[j])), 6) if min(len(a[i]), len(b[j])) > 1 else 2.0
+        w = min(max(len(a[i]), len(b[j])), 6) if short > 1 else 2.0
         total += w * s
         weight += w
-        whole += min(len(a[i]), len(b[j])) > 1 and s > 0.8
+        whole += short > 1 and s > 0.8
+        if short > 1 or len(ia) <= longer:
+            worst = min(worst, s)
+    like = _score(total, weight, whole, a, b, ia, jb)
     if len(a) != len(b) and max(len(a), len(b)) > 2:
-        return max(_score(total, weight, whole, a, b, ia, jb), _glued(a, b))
-    return _score(total, weight, whole, a, b, ia, jb)
+        like = max(like, _glued(a, b))
+    return like, worst
 
 
 def _glued(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -245,19 +265,3 @@ def _score(total: float, weight: float, whole: int, a: tuple[str, ...], b: tuple
     for x in lone:
         weight += 0.25 * min(len(x), 6)
     return total / weight if whole else 0.5 * total / weight
-
-
-@lru_cache(maxsize=40_000)
-def worst_part(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """The likeness of the least alike pair when the parts are paired best first; initials count."""
-    if not a or not b:
-        return 0.0
-    pairs = sorted(((token_likeness(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
-    ia, jb, worst = set(), set(), 1.0
-    for s, i, j in pairs:
-        if i not in ia and j not in jb:
-            ia.add(i)
-            jb.add(j)
-            if len(a[i]) > 1 and len(b[j]) > 1 or len(ia) <= min(len([t for t in a if len(t) > 1]), len([t for t in b if len(t) > 1])):
-                worst = min(worst, s)
-    return worst

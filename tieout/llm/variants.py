@@ -34,8 +34,7 @@ def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """How alike two typed names are as a whole, and in their least alike parts."""
     out = []
     for x, y in zip(a, b):
-        x, y = names.tokens(x or ""), names.tokens(y or "")
-        out.append((names.name_likeness(x, y), names.worst_part(x, y)))
+        out.append(names.compared(names.tokens(x or ""), names.tokens(y or "")))
     return pd.DataFrame(out, columns=["like", "worst"])
 
 
