@@ -127,12 +127,12 @@ _ALL = _MEASURES + ", f as (" + " union all ".join(f"select pack_id, id, {i} as
 
 
 def tiered_match(spark: SparkSession, d: str) -> DataFrame:
-    """Each proposal row with the statement before it that its id, name, or last name and first letters find."""
+    """Each proposal row with the statement before it that its id, name, or last name and first letters find; 0 for none."""
     p = table(spark, d, "proposal").select("rec_id", "pack_id", same_id("client_employee_id").alias("pid"), t.name_key(F.col("first_name"), F.col("last_name")).alias("pname"))
     s = table(spark, d, "paycheck").where("run = 'before'").select(F.col("rec_id").alias("slip_id"), "pack_id", same_id("employee_id").alias("sid"), t.match_key(F.col("name")).alias("sname"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     tiers = [(F.col("pid"), F.col("sid")), (blank("pname"), blank("sname")), (t.short_key(F.col("pname")), t.short_key(F.col("sname")))]
-    return matching.tiered(p, s, tiers, left_id="rec_id", right_id="slip_id", within="pack_id", order=["slip_id"])
+    return matching.tiered(p, s, tiers, left_id="rec_id", right_id="slip_id", within="pack_id", order=["slip_id"]).fillna(0, ["slip_id", "tier"])
 
 
 _NORM = lambda c: f"trim(regexp_replace(lower(translate({c}, '{t._MARKED}', '{t._PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
@@ -143,14 +143,14 @@ _TIERED = f"""
 with p as (select rec_id, pack_id, {_ID.format(c="client_employee_id")} as pid, nullif({_NAMEKEY("first_name", "last_name")}, '') as pname, {_SHORT(_NAMEKEY("first_name", "last_name"))} as pshort from proposal),
 s as (select rec_id as slip_id, pack_id, {_ID.format(c="employee_id")} as sid, nullif({_MATCHKEY}, '') as sname, {_SHORT("(" + _MATCHKEY + ")")} as sshort from paycheck where run = 'before'),
 a as (select pack_id, sid, min(slip_id) as i from s where sid is not null group by all), b as (select pack_id, sname, min(slip_id) as i from s where sname is not null group by all), c as (select pack_id, sshort, min(slip_id) as i from s where sshort is not null group by all),
-o as (select rec_id, coalesce(a.i, b.i, c.i) as slip_id, case when a.i is not null then 1 when b.i is not null then 2 when c.i is not null then 3 end as tier from p
+o as (select rec_id, coalesce(a.i, b.i, c.i, 0) as slip_id, case when a.i is not null then 1 when b.i is not null then 2 when c.i is not null then 3 else 0 end as tier from p
   left join a on p.pack_id = a.pack_id and p.pid = a.sid left join b on p.pack_id = b.pack_id and p.pname = b.sname left join c on p.pack_id = c.pack_id and p.pshort = c.sshort)
 """
 
 
 def orphan_statements(spark: SparkSession, d: str) -> DataFrame:
     """Statements before the change that no proposal row finds."""
-    found = tiered_match(spark, d).select("slip_id").where("slip_id is not null").distinct()
+    found = tiered_match(spark, d).select("slip_id").where("slip_id <> 0").distinct()
     return table(spark, d, "paycheck").where("run = 'before'").select(F.col("rec_id").alias("slip_id"), "pack_id").join(found, "slip_id", "left_anti")
 
 
@@ -168,10 +168,10 @@ def index_first_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def census_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Each proposal row with its census row by id, and whether it was found."""
+    """Each proposal row with its census row by id, 0 for none, and whether it was found."""
     p = table(spark, d, "proposal").select("rec_id", "pack_id", same_id("client_employee_id").alias("id"))
     c = _census(spark, d).select("pack_id", "id", F.col("rec_id").alias("census_rec"))
-    return p.join(c, ["pack_id", "id"], "left").select("rec_id", "census_rec", F.col("census_rec").isNotNull().alias("found"))
+    return p.join(c, ["pack_id", "id"], "left").select("rec_id", F.coalesce("census_rec", F.lit(0)).alias("census_rec"), F.col("census_rec").isNotNull().alias("found"))
 
 
 def programme_codes(spark: SparkSession, d: str) -> DataFrame:
@@ -321,13 +321,15 @@ SQL = {
     "orphan_statements": _TIERED + "select slip_id, pack_id from s where slip_id not in (select slip_id from o where slip_id is not null)",
     "merge_last_wins": f"with c as (select *, {_ID.format(c='employee_id')} as id from census), k as (select *, row_number() over (partition by pack_id, id order by file_ord desc, row_ord desc, rec_id desc) as n, first_value(file_ord) over (partition by pack_id, id order by file_ord, row_ord, rec_id) as first_file, first_value(rec_id) over (partition by pack_id, id order by file_ord, row_ord, rec_id) as first_rec from c where id is not null) select pack_id, id, rec_id, gross_annual_taxable_wages, first_file, first_rec from k where n = 1 union all select pack_id, id, rec_id, gross_annual_taxable_wages, file_ord, rec_id from c where id is null",
     "index_first_wins": f"with {_FIRST} select pack_id, id, run, rec_id, gross from r",
-    "census_lookup": f"with {_CENSUS} select p.rec_id, c.rec_id as census_rec, c.rec_id is not null as found from (select *, {_ID.format(c='client_employee_id')} as id from proposal) p left join c on p.pack_id = c.pack_id and p.id = c.id",
+    "census_lookup": f"with {_CENSUS} select p.rec_id, coalesce(c.rec_id, 0) as census_rec, c.rec_id is not null as found from (select *, {_ID.format(c='client_employee_id')} as id from proposal) p left join c on p.pack_id = c.pack_id and p.id = c.id",
     "programme_codes_diff": f"with u as (select pack_id, run, code, case when code = 'reimbursement' then -abs(amount) else amount end as amount from ({_UNPIVOT(CODES, 'pack_id, run', 'paycheck')}) where amount <> 0), n as (select pack_id, code, sum(amount::decimal(18,2))::double as total from u where run = 'after' and (pack_id, code) not in (select pack_id, code from u where run = 'before') group by all), m as (select *, first_value(code) over (partition by pack_id order by total desc, code desc) as top from n) select pack_id, code, total, case when total < 0 and exists (select 1 from n o where o.pack_id = m.pack_id and round(o.total, 2) = round(-m.total, 2) and o.total > 0) then 'reimbursement' when total > 0 and top = code then 'premium' else 'fee' end as part from m",
     "payer_set_equality": f"with u as (select pack_id, name, code, abs(sum(amount::decimal(18,2))) as s from ({_UNPIVOT(CODES, 'pack_id, name, run', 'paycheck')}) where run = 'after' and amount <> 0 and name is not null group by pack_id, name, code), g as (select pack_id, code, list(name || '|' || s order by name || '|' || s) as l, count(*) as n_payers from u group by all) select a.pack_id, a.code as code_a, b.code as code_b, a.n_payers from g a join g b on a.pack_id = b.pack_id and a.l = b.l and a.code < b.code",
     "control_totals": "with s as (select pack_id, run, sum(gross::decimal(18,2)) as gross, sum(federal::decimal(18,2)) as federal, sum(medicare::decimal(18,2)) as medicare, sum(net_pay::decimal(18,2)) as net_pay, count(*)::decimal(18,2) as employees from paycheck group by all), u as (unpivot s on gross, federal, medicare, net_pay, employees into name control value parsed) select pack_id, run, control, parsed::double as parsed, case when control = 'employees' then parsed::double else round(parsed, 0)::double end as printed, abs(parsed::double - round(parsed, 0)::double) <= 0.01 as ok from u",
     "plausibility_validate": "select rec_id, gross, " + ", ".join(f"case when gross is null or gross <= 0 or {k} < 0 or (abs({k}) >= gross * {lo} - 0.01 and abs({k}) <= gross * {hi} + 0.01) then {k} end as {k}" for k, (lo, hi) in m.PLAUSIBLE.items()) + " from paycheck",
     "anchor_gross": f"with {_CENSUS}, a as (select p.rec_id, p.gross, c.g / c.pp as anchor from (select *, {_ID.format(c='employee_id')} as id from paycheck) p left join c on p.pack_id = c.pack_id and p.id = c.id) select rec_id, case when anchor is not null and anchor <> 0 and (gross is null or abs(gross - anchor) > greatest(1.0, anchor * 0.02)) then {_R2.format(x='anchor')} else gross end as gross from a",
     "federal_by_subtraction": f"with a as (select *, total_deductions - (coalesce(state, 0.0) + coalesce(social_security, 0.0) + coalesce(medicare, 0.0) + coalesce(retirement, 0.0) + coalesce(local, 0.0)) as rest from paycheck where federal is null) select rec_id, case when abs(gross - net_pay - total_deductions) <= 0.02 and rest >= -0.01 and rest <= 0.45 * gross then {_R2.format(x='greatest(rest, 0.0)')} end as federal from a",
+    "net_consensus": f"with v as (select rec_id, net_pay as a, gross - total_deductions as b, gross - federal - coalesce(state, 0.0) - coalesce(medicare, 0.0) as c from paycheck), n as (select *, coalesce((abs(a - b) <= 50)::int, 0) as ab, coalesce((abs(a - c) <= 50)::int, 0) as ac, coalesce((abs(b - c) <= 50)::int, 0) as bc from v), k as (select *, case when a is not null then ab + ac else -1 end as na, case when b is not null then ab + bc else -1 end as nb, case when c is not null then ac + bc else -1 end as nc from n) select rec_id, {_R2.format(x='(case when ab + ac > 0 then a when ab + bc > 0 then b when ac + bc > 0 then c end)')} as agreed, {_R2.format(x='(case when greatest(na, nb, nc) < 0 then null when na = greatest(na, nb, nc) then a when nb = greatest(na, nb, nc) then b else c end)')} as most from k",
+    "fica_base": f"with v as (select rec_id, social_security / 0.062::double as a, medicare / 0.0145::double as b, medicare_gross as c from paycheck), n as (select *, coalesce((abs(a - b) <= 5)::int, 0) as ab, coalesce((abs(a - c) <= 5)::int, 0) as ac, coalesce((abs(b - c) <= 5)::int, 0) as bc from v), k as (select *, case when a is not null then ab + ac else -1 end as na, case when b is not null then ab + bc else -1 end as nb, case when c is not null then ac + bc else -1 end as nc from n), m as (select *, case when greatest(na, nb, nc) < 0 then null when na = greatest(na, nb, nc) then a when nb = greatest(na, nb, nc) then b else c end as x from k) select rec_id, {_R2.format(x='((0.0::double + case when abs(a - x) <= 5 then a else 0.0 end + case when abs(b - x) <= 5 then b else 0.0 end + case when abs(c - x) <= 5 then c else 0.0 end) / nullif(coalesce((abs(a - x) <= 5)::int, 0) + coalesce((abs(b - x) <= 5)::int, 0) + coalesce((abs(c - x) <= 5)::int, 0), 0))')} as base from m",
     "fuzzy_gap": _MEASURES + f", x as (select pack_id, id, gap as mid, gap - 0.04 * pp / 12 as low, gap + (0.04 + 5.0) * pp / 12 as high from e where net_change is not null and gap is not null) select pack_id, id, {_R2.format(x='low')} as low, {_R2.format(x='mid')} as mid, {_R2.format(x='high')} as high, {_R2.format(x='(low + 0.5::double * (mid - low))')} as cut_low, {_R2.format(x='(high - 0.5::double * (high - mid))')} as cut_high from x",
     "expectation_disagreements": f"with {_CENSUS}, x as (select pack_id, id, 'gross' as field, g / pp as expected, 10.0 as sd from c union all select pack_id, id, 'retirement', ret * 12 / pp, 2.0 from c), s as (select *, {_ID.format(c='employee_id')} as id from paycheck), v as (select rec_id, pack_id, id, 'gross' as field, gross as value from s union all select rec_id, pack_id, id, 'retirement', retirement from s) select rec_id, field, value, {_R2.format(x='expected')} as expected from v join x using (pack_id, id, field) where abs(value - expected) > 3 * sd",
     "robust_calibration": f"with {_FIRST}, b as (select * from r where run = 'before'), a as (select * from r where run = 'after'), x as (" + " union all ".join(f"select '{c}' as field, {_R2.format(x=f'(a.{c} - b.{c})')} as error from a join b using (pack_id, id)" for c in ("gross", "federal", "medicare")) + "), e as (from x where error is not null), k as (select field, median(error) as m from e where abs(error) <= 40 group by all), q as (select field, median(abs(error - m)) as mad from e join k using (field) where abs(error) <= 40 group by all) select field, count(*) as n, round(greatest(0.05, coalesce(any_value(mad) * 1.4826, 0.05)), 6) as sd, round(count(*) filter (abs(error) > 40) / count(*), 6) as outlier_rate, median(abs(error)) filter (abs(error) > 40) as typical_wrong_by from e left join q using (field) group by field",
