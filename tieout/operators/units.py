@@ -16,8 +16,9 @@ class InconsistentUnits(ValueError):
 
 
 class UnitGraph:
-    """Units joined by affine conversions, each usable both ways. Building it checks every cycle: each edge must agree
-    with the composition along the shortest path, so that any two paths agree. Repeated and self edges are edges too."""
+    """Units joined by affine conversions, each usable both ways. Building it checks every cycle: from one
+    unit of each component every edge must lead where the shortest composition leads, so that any two paths agree.
+    Repeated and self edges are edges too."""
 
     def __init__(self, edges: Iterable[Edge]):
         self.edges = [(a, b, Fraction(f), Fraction(o)) for a, b, f, o in edges]
@@ -28,9 +29,14 @@ class UnitGraph:
             self.near.setdefault(a, []).append((b, f, o))
             self.near.setdefault(b, []).append((a, 1 / f, -o / f))
         self._from = {a: self._reach(a) for a in self.near}
+        root: dict[str, str] = {}
+        for a in self.near:
+            for b in self._from[a]:
+                root.setdefault(b, a)
         for a, b, f, o in self.edges:
-            if self._from[a][b] != (f, o):
-                raise InconsistentUnits(f"{a} to {b}: {f}, {o} against {self._from[a][b]}")
+            base = self._from[root[a]]
+            if (base[a][0] * f, base[a][1] * f + o) != base[b]:
+                raise InconsistentUnits(f"{a} to {b}: {f}, {o} disagrees with the way over {root[a]}")
 
     def _reach(self, start: str) -> dict[str, tuple[Fraction, Fraction]]:
         found, queue = {start: (Fraction(1), Fraction(0))}, deque([start])
