@@ -83,8 +83,7 @@ def full_forms(token: str) -> frozenset[str]:
 def codes(parts: tuple[str, ...]) -> set[str]:
     """Blocking keys of a name, each from the phonetic codes of its sorted parts.
 
-    For the parts longer than an initial: the codes of every two of them, once whole and once with one sound left out of
-    the longer, so that names that differ by one letter of any kind share a key; the start of the longest part with the
+    For the parts longer than an initial: the codes of every two of them, whole and with one sound left out, so that names that differ by one letter of any kind share a key; the start of the longest part with the
     first letters of the others, for parts cut short; a single part by itself. Nicknames stand for their full names too."""
     long = sorted({t for t in parts if len(t.replace("?", "")) > 1})
     short = sorted({t[0] for t in parts if len(t) == 1 and t != "?"})
@@ -93,12 +92,14 @@ def codes(parts: tuple[str, ...]) -> set[str]:
     def pair(a: str, b: str) -> None:
         x, y = sorted((sound(a), sound(b)))
         out.add(f"{x}.{y}")
-        whole, rest = (sound(a, 9), sound(b, 3)) if len(a) >= len(b) else (sound(b, 9), sound(a, 3))
-        out.add(f"-{whole}.{rest}")
-        for i in range(len(whole)):
-            out.add(f"-{whole[:i] + whole[i + 1 :]}.{rest}")
-        for i in range(len(rest)):
-            out.add(f"-{whole}.{rest[:i] + rest[i + 1 :]}")
+        near = abs(len(a) - len(b)) <= 1
+        for long_, short_ in [(a, b)] * (near or len(a) > len(b)) + [(b, a)] * (near or len(b) > len(a)):
+            whole, rest = sound(long_, 9), sound(short_, 3)
+            out.add(f"-{whole}.{rest}")
+            for i in range(len(whole)):
+                out.add(f"-{whole[:i] + whole[i + 1 :]}.{rest}")
+            for i in range(len(rest)):
+                out.add(f"-{whole}.{rest[:i] + rest[i + 1 :]}")
 
     for i, a in enumerate(long):
         for b in long[i + 1 :]:

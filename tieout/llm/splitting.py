@@ -73,7 +73,9 @@ def successors(levels: np.ndarray, capacity: int, overlap: int) -> tuple[np.ndar
     end = np.where(stuck, np.minimum(at + capacity, n), end)
     back = np.maximum(end - overlap, 0)
     word = last[1][back]
-    start = np.where((word >= back - BACK) & (word > at), word, last[0][back])
+    # Half the capacity holds the overlap and the way back, so that every piece ends beyond the one before.
+    step = max(0, min(BACK, capacity // 2 - overlap - 4))
+    start = np.where((word >= back - step) & (word > at), word, last[0][back])
     start = np.where(start <= at, np.maximum(back, at + 1), start)
     return end, np.where(end == n, n, start)
 
