@@ -85,7 +85,7 @@ def codes(parts: tuple[str, ...]) -> set[str]:
 
     For the parts longer than an initial: the codes of every two of them, whole and with one sound left out, so that names that differ by one letter of any kind share a key; the start of the longest part with the
     first letters of the others, for parts cut short; a single part by itself. Nicknames stand for their full names too."""
-    long = sorted({t for t in parts if len(t.replace("?", "")) > 1})
+    long = sorted(t for t in parts if len(t.replace("?", "")) > 1)
     short = sorted({t[0] for t in parts if len(t) == 1 and t != "?"})
     out: set[str] = set()
 
@@ -106,7 +106,7 @@ def codes(parts: tuple[str, ...]) -> set[str]:
             for fa in full_forms(a):
                 for fb in full_forms(b):
                     pair(fa, fb)
-        others = {f[0] for t in long if t != a for f in full_forms(t)} | set(short)
+        others = {f[0] for j, t in enumerate(long) if j != i for f in full_forms(t)} | set(short)
         for o in others:
             out.add(f"{a[:4]}~{o}")
             out.add(f"{sound(a, 9)}~{o}")
