@@ -11,7 +11,7 @@ NICKNAMES: dict[str, str] = {
     "dorothy": "dot dottie dolly", "edward": "ed eddie ted", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty eliz", "francis": "frank fran",
     "frederick": "fred freddy fredk", "gerald": "gerry jerry", "gregory": "greg gregg", "gwendolyn": "gwen wendy", "harold": "hal harry",
     "isabella": "bella izzy", "jacqueline": "jackie jacqui", "james": "jim jimmy jas", "jennifer": "jen jenny jenn", "jonathan": "jon jonny",
-    "joseph": "joe joey jos", "katherine": "kate katie kath", "lawrence": "larry lars", "leonard": "len lenny", "margaret": "maggie meg peggy marg",
+    "joseph": "joe joey jos", "katherine": "kate katie kath kathy", "lawrence": "larry lars", "leonard": "len lenny", "margaret": "maggie meg peggy marg marge",
     "matthew": "matt matty", "michael": "mike mick michl", "natalie": "nat natale talia", "nicholas": "nick nicky nichs", "oliver": "ollie",
     "pamela": "pam pammy", "patricia": "pat trish patty", "philip": "phil pip", "raymond": "ray", "rebecca": "becca becky", "richard": "rich dick richd",
     "robert": "rob bob bobby robt", "samuel": "sam sammy saml", "stephen": "steve stevie", "susan": "sue susie", "theresa": "terry tess tessa",
@@ -27,6 +27,8 @@ PARTICLES = frozenset("van von de la le du di del della der den st saint mac mc
 DROPPED = frozenset("jr sr ii iii iv mr mrs ms miss dr prof esq".split())
 #: Letters by sound, as in the usual soundex; vowels and h, w, y have none.
 _SOUND = {c: d for d, own in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in own}
+#: Letters that misread print shows for one letter.
+MISREAD = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("cl", "d"), ("ii", "u"), ("li", "h"), ("nn", "m"))
 _BROKEN = re.compile("[ÃÂâ][\x80-\xbf€-™]")
 
 
@@ -44,7 +46,7 @@ def repaired(s: str) -> str:
 @lru_cache(maxsize=40_000)
 def tokens(name: str) -> tuple[str, ...]:
     """Parts of a name in order: lower case without accents, particles joined to what follows, titles and endings
-    dropped, hyphens as breaks. ``rn`` and ``m``, ``vv`` and ``w`` are the same, as misread print is. Digits and question marks within a word stand for any letter, written ``?``."""
+    dropped, hyphens as breaks. Digits and question marks within a word stand for any letter, written ``?``."""
     s = unicodedata.normalize("NFKD", repaired(name))
     s = "".join(c for c in s if not unicodedata.combining(c)).lower()
     s = re.sub(r"['’`]", "", s)
@@ -52,7 +54,7 @@ def tokens(name: str) -> tuple[str, ...]:
     for t in re.findall(r"[^\W_](?:[^\W_]|\?)*|\?+[^\W_](?:[^\W_]|\?)*", s):
         if not any(c.isalpha() for c in t):
             continue
-        t = re.sub(r"\d", "?", t).replace("rn", "m").replace("vv", "w")
+        t = re.sub(r"\d", "?", t)
         if t in DROPPED:
             continue
         if t in PARTICLES and len(t) > 1:
@@ -84,7 +86,7 @@ def codes(parts: tuple[str, ...]) -> set[str]:
     """Blocking keys of a name, each from the phonetic codes of its sorted parts.
 
     For the parts longer than an initial: the codes of every two of them, whole and with one sound left out, so that names that differ by one letter of any kind share a key; the start of the longest part with the
-    first letters of the others, for parts cut short; a single part by itself. Nicknames stand for their full names too."""
+    first letters of the others, for parts cut short; a single part by itself. Nicknames stand for their full names too, neighbouring parts of longer names also as one."""
     long = sorted(t for t in parts if len(t.replace("?", "")) > 1)
     short = sorted({t[0] for t in parts if len(t) == 1 and t != "?"})
     out: set[str] = set()
@@ -101,6 +103,12 @@ def codes(parts: tuple[str, ...]) -> set[str]:
             for i in range(len(rest)):
                 out.add(f"-{whole}.{rest[:i] + rest[i + 1 :]}")
 
+    if len(long) > 2:  # neighbours that another source writes as one
+        whole_parts = [t for t in parts if len(t) > 1]
+        for i in range(len(whole_parts) - 1):
+            for t in whole_parts[:i] + whole_parts[i + 2 :]:
+                for f in full_forms(t):
+                    pair(whole_parts[i] + whole_parts[i + 1], f)
     for i, a in enumerate(long):
         for b in long[i + 1 :]:
             for fa in full_forms(a):
@@ -179,6 +187,10 @@ def edits(a: str, b: str) -> int:
     return min(last[-1], 3)
 
 
+#: Least likeness of parts of three letters or more that differ by one edit.
+ONE_EDIT = 0.87
+
+
 @lru_cache(maxsize=100_000)
 def token_likeness(a: str, b: str) -> float:
     """How alike two parts of a name are, 0 to 1: equal, nickname, cut short, initial, else Jaro-Winkler, held down where
@@ -195,6 +207,8 @@ def token_likeness(a: str, b: str) -> float:
     x, y = (a, b) if len(a) <= len(b) else (b, a)
     if len(x) >= 3 and all(c == d or c == "?" or d == "?" for c, d in zip(x, y)):
         return 0.93
+    if any((two in x or two in y) and x.replace(two, one) == y.replace(two, one) for two, one in MISREAD):
+        return 0.94
     best = 0.4
     for f in fa:
         for g in fb:
@@ -204,7 +218,7 @@ def token_likeness(a: str, b: str) -> float:
             near = jaro_winkler(f, g)
             if near > 0.8:
                 n = edits(f, g)
-                near = near if n <= 1 else min(near, 0.88 if n == 2 and min(len(f), len(g)) >= 6 else 0.8)
+                near = max(near, ONE_EDIT) if n <= 1 else min(near, 0.88 if n == 2 and min(len(f), len(g)) >= 6 else 0.8)
             best = max(best, near if (f, g) == (a, b) else 0.97 * near)
     return best
 
@@ -245,19 +259,20 @@ def compared(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float]:
             worst = min(worst, s)
     like = _score(total, weight, whole, a, b, ia, jb)
     if len(a) != len(b) and max(len(a), len(b)) > 2:
-        like = max(like, _glued(a, b))
+        return max((like, worst), _glued(a, b))
     return like, worst
 
 
-def _glued(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """The likeness when two neighbouring parts of the name with more parts are one part of the other."""
+def _glued(a: tuple[str, ...], b: tuple[str, ...]) -> tuple[float, float]:
+    """The comparison when two neighbouring parts of the name with more parts are one part of the other."""
     few, many = (a, b) if len(a) < len(b) else (b, a)
-    best = 0.0
+    best = (0.0, 0.0)
     for i in range(len(many) - 1):
         if min(len(many[i]), len(many[i + 1])) > 2:
             joined = many[:i] + (many[i] + many[i + 1],) + many[i + 2 :]
-            if len(joined) == len(few) and any(edits(many[i] + many[i + 1], t) <= 1 for t in few):
-                best = max(best, 0.99 * name_likeness(few, joined))
+            if len(joined) == len(few) and any(token_likeness(many[i] + many[i + 1], t) >= ONE_EDIT for t in few):
+                like, worst = compared(few, joined)
+                best = max(best, (0.99 * like, worst))
     return best
 
 

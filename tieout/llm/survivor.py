@@ -54,7 +54,7 @@ def name_votes(claims: list[tuple]) -> Iterator[tuple[str, str, float, str]]:
 
     for i, a in enumerate(values):
         for b in values[i + 1 :]:
-            if parts[a] and parts[b] and (names.name_likeness(parts[a], parts[b]) >= 0.84 or _initial(parts[a], parts[b])):
+            if parts[a] and parts[b] and (names.name_likeness(parts[a], parts[b]) >= 0.84 or _initial(parts[a], parts[b]) or names.token_likeness("".join(parts[a]), "".join(parts[b])) >= 0.9):
                 home[root(a)] = root(b)
     held = root(max(good, key=lambda c: (c[3] or "", c[0]))[0])
     mine = [v for v in values if root(v) == held]
