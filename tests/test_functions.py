@@ -75,3 +75,11 @@ def test_number_round_trip(spark, d):
     v = float(d)
     text = f"${abs(v):,.2f}"
     assert one(spark, f"({text})" if v < 0 else text, m.number) == v
+
+
+def test_statement_texts(spark):
+    w = one(spark, "Filing status: Married  Multiple jobs: N children: 2 extra withholding: $1,050.00", t.w4)
+    assert tuple(w) == ("M", "N", 2, 1050.0) and tuple(one(spark, "nothing", t.w4)) == (None, None, None, None)
+    assert one(spark, "Direct Deposit\nBank A 12 1,000.00\nBank B 5.50\nDeposit total 1,005.50\nBank C 9.00", t.deposits) == [1000.0, 5.5] and one(spark, "none", t.deposits) == []
+    assert tuple(one(spark, "Employee name: Anna Lee\nEmployee ID: E1207", t.person)) == ("Anna Lee", "E1207")
+    assert one(spark, 'said {"a": 1} so', lambda x: t.json_of(x, "a int")).a == 1 and one(spark, "none", lambda x: t.json_of(x, "a int")) is None

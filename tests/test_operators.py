@@ -181,3 +181,10 @@ def test_store(spark, tmp_path):
     store.append_corrections(spark, fix, str(tmp_path / "fix"))
     spark.createDataFrame([("a", "f", 1.0)], "page_key string, field string, value double").write.parquet(str(tmp_path / "read"))
     assert store.effective_values(spark, str(tmp_path / "read"), str(tmp_path / "fix")).first().value == 2.0
+
+
+def test_accounted(spark):
+    e = spark.createDataFrame([(1, 10.0), (1, 10.9), (1, 50.0), (1, None), (2, 10.0), (1, 10.0)], "w int, v double")
+    f = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, None), (1, 51.5)], "w int, v double")
+    assert rowset(matching.accounted(e, f, "w", "v")) == sorted([(1, 10.0, "exact"), (1, 10.0, "exact"), (1, 10.9, "near"), (1, 50.0, "missing"), (1, None, "unknown"), (2, 10.0, "missing")], key=str)
+    assert matching.accounted(e, f.limit(0), "w", "v").where("state = 'missing'").count() == 5

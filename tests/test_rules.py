@@ -83,3 +83,13 @@ def test_formula_against_interpreter(spark, text):
         return op(a, b), i + 1
 
     assert value(spark, formula(text, {})) == parse(text)[0]
+
+
+def test_json_and_ranks(spark):
+    from tieout.operators.rules import ranked_list, rules_from_json
+
+    rules = rules_from_json('[{"name": "a", "conditions": [["v", ">", 0]], "outputs": {"label": "up", "amount": ["=SUM", "{v}", ["=ABS", -2]]}}, {"name": "b", "outputs": {"label": "all"}, "active": false}]')
+    got = solve(rows(spark), rules, keep=["k"], kinds=KINDS).collect()
+    assert [(r.k, r.amount) for r in got] == [(1, 12.0)]
+    f = spark.createDataFrame([(1, "x", 3), (1, "y", 1), (1, "x", 0), (2, "z", 0)], "k int, label string, pos int")
+    assert sorted((r.k, r.n, r.findings) for r in ranked_list(f, ["k"], {"y": 1}).collect()) == [(1, 2, "1. y 2. x"), (2, 1, "1. z")]

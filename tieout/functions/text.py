@@ -94,3 +94,32 @@ def filled(template: str, values: dict[str, Column]) -> Column:
 def titled(text: Column) -> Column:
     """Each word with a capital; words of two or three capitals stay as they are."""
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(w.rlike("^[A-Z]{2,3}$"), w).otherwise(F.initcap(w))), " ")
+
+
+def w4(text: Column) -> Column:
+    """Status, several jobs, children and extra withholding of a W-4 line on a statement; nulls where it says nothing."""
+    pick = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    return F.struct(
+        F.upper(F.substring(pick(r"(?i)(?:filing|marital) status\s*:?\s*(single|married|head|[smh])\b"), 1, 1)).alias("status"),
+        F.upper(F.substring(pick(r"(?i)(?:multiple jobs|step 2\(?c\)?)\s*:?\s*(y|n|yes|no)\b"), 1, 1)).alias("multijob"),
+        pick(r"(?i)(?:children|dependents)\s*:?\s*(\d+)").try_cast("int").alias("children"),
+        F.replace(pick(r"(?i)extra(?: withholding)?\s*:?\s*\$?([\d,]+\.\d{2})"), F.lit(","), F.lit("")).try_cast("double").alias("extra"),
+    )
+
+
+def deposits(text: Column) -> Column:
+    """The last amount of each line between a heading of deposits and its total; empty without one."""
+    part = F.regexp_extract(text, r"(?is)direct deposit[^\n]*\n(.*?)(?:\n[^\n]*total|\z)", 1)
+    rows = F.transform(F.split(part, "\n"), lambda x: F.replace(F.regexp_extract(x, r"([\d,]+\.\d{2})\D*$", 1), F.lit(","), F.lit("")).try_cast("double"))
+    return F.filter(rows, lambda x: x.isNotNull())
+
+
+def person(text: Column) -> Column:
+    """The name and id that a statement is for."""
+    pick = lambda p: F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit(""))
+    return F.struct(pick(r"(?im)^\s*(?:employee(?: name)?|name)\s*:\s*([^\n]+?)\s*$").alias("name"), pick(r"(?i)(?:employee|emp)\s*(?:id|no|number)\s*:?\s*([A-Z]?-?\d{2,})").alias("id"))
+
+
+def json_of(text: Column, schema: str) -> Column:
+    """The outermost JSON object in a text, read by a schema; null if there is none or it is broken."""
+    return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)

@@ -83,3 +83,17 @@ def same_payers(rows: DataFrame, within: str, code: str, payer: str, amount: str
     )
     a, b = sets.withColumnRenamed(code, "code_a"), sets.withColumnRenamed(code, "code_b")
     return a.join(b, [within, "n_payers", "_sum", "_xor"]).where("code_a < code_b").select(within, "code_a", "code_b", "n_payers")
+
+
+def accounted(expected: DataFrame, found: DataFrame, within: str, amount: str, near: float = 1.0) -> DataFrame:
+    """``expected`` with ``state``: ``exact`` if ``found`` has the amount to the cent in the same ``within``, ``near`` if it
+    has one within ``near``, ``missing`` else; null amounts are ``unknown``. The range meets by an equi-join on whole
+    steps of ``near`` and their neighbours; amounts are distinct before it, so that copies don't multiply."""
+    have = found.select(F.col(within).alias("_w"), F.col(amount).cast("decimal(18,2)").alias("_v")).dropna().distinct().withColumn("_s", F.floor(F.col("_v").cast("double") / near).cast("long"))
+    asked = expected.select(within, F.col(amount).cast("decimal(18,2)").alias("_a")).dropna().distinct()
+    wide = asked.withColumn("_s", F.explode(F.sequence(F.floor(F.col("_a").cast("double") / near).cast("long") - 1, F.floor(F.col("_a").cast("double") / near).cast("long") + 1)))
+    best = wide.join(have, (F.col(within) == F.col("_w")) & (wide["_s"] == have["_s"])).groupBy(within, "_a").agg(F.min(F.abs(F.col("_a") - F.col("_v"))).alias("_d"))
+    best = best.select(F.col(within).alias("_w"), F.col("_a").alias("_amount"), "_d")
+    out = expected.join(best, (F.col(within) == F.col("_w")) & (F.col(amount).cast("decimal(18,2)") == F.col("_amount")), "left")
+    state = F.when(F.col(amount).isNull(), "unknown").when(F.col("_d") == 0, "exact").when(F.col("_d") <= near, "near").otherwise("missing")
+    return out.withColumn("state", state).drop("_w", "_amount", "_d")

@@ -195,3 +195,23 @@ def solve(rows: DataFrame, rules: Sequence[Rule], *, keep: Sequence[str], kinds:
     if strategy != "ALL_MATCH":
         raise RuleError(strategy)
     return rows.select(*keep, F.explode(F.array_compact(F.array(*cases))).alias("_r")).select(*keep, "_r.*")
+
+
+def rules_from_json(text: str) -> list[Rule]:
+    """Rules as they are stored: a list of objects with ``name``, ``conditions`` (input, operator, value), ``outputs`` and
+    ``active``. Calls are lists that start with a function's name after ``=``, as ["=SUM", 1, 2]."""
+    import json
+
+    def value(v: Any) -> Any:
+        return (v[0][1:], *map(value, v[1:])) if isinstance(v, list) and v and isinstance(v[0], str) and v[0].startswith("=") else v
+
+    return [Rule(r["name"], [(c[0], c[1], value(c[2])) for c in r.get("conditions", ())], {k: value(v) for k, v in r["outputs"].items()}, r.get("active", True)) for r in json.loads(text)]
+
+
+def ranked_list(findings: DataFrame, key: Sequence[str], rank: Mapping[str, int], label: str = "label", pos: str = "pos", default: int = 45) -> DataFrame:
+    """(key, n, findings): the labels of each key, once each, by rank and then position, numbered in one text."""
+    ranks = F.create_map(*(x for k, v in rank.items() for x in (F.lit(k), F.lit(v)))) if rank else None
+    order = F.coalesce(F.try_element_at(ranks, F.col(label)), F.lit(default)) if ranks is not None else F.lit(default)
+    first = findings.groupBy(*key, label).agg(F.min(F.struct(order.alias("r"), F.col(pos).alias("p"))).alias("_o"))
+    rows = first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_o.r", "_o.p", F.col(label).alias("l")))).alias("_a"))
+    return rows.select(*key, F.size("_a").alias("n"), F.array_join(F.transform("_a", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["l"])), " ").alias("findings"))

@@ -1,7 +1,7 @@
 """SQL twins of the queries, for DuckDB."""
 
 from tieout.functions.headers import SYNONYMS
-from tieout.queries import reconcile, texts
+from tieout.queries import reconcile, reports, texts
 
 #: An id as functions.ids.same_id has it.
 _ID = r"nullif(regexp_extract(ltrim(regexp_replace(upper(regexp_replace(trim({c}), '\.0+\s*$', '')), '[^\p{{L}}\p{{N}}]', '', 'g'), '0'), '^.*[1-9].*$'), '')"
@@ -39,7 +39,7 @@ o as (
 select f.file_id, o.field, o.change from o join f on o.series_id = f.series_id and o.seq = f.seq where o.seq > 1
 """
 
-SQL: dict[str, str] = reconcile.SQL | texts.SQL | {
+SQL: dict[str, str] = reconcile.SQL | texts.SQL | reports.SQL | {
     "p4_found": _P4,
     "p1_found": _P1 + "select * from o",
     "p1_report": _P1 + "select src_table, period, reason, count(*) as n_refs from o group by all",
