@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tieout.functions.ids import same_id
 from tieout.operators.orphans import orphans
@@ -26,7 +27,7 @@ def found(df):
 
 def run(spark, match):
     refs, parents = frames(spark)
-    return orphans(refs.withColumnRenamed("spans", "period"), parents, [("pack", "pack"), ("id", "id")], at="at", loaded="loaded", withdrawn="withdrawn", match=match)
+    return orphans(refs.withColumn("_loaded", F.lit(1)).withColumn("loaded", F.lit("x")), parents, [("pack", "pack"), ("id", "id")], at="at", loaded="loaded", withdrawn="withdrawn", match=match)
 
 
 def test_reasons_simple(spark):

@@ -12,7 +12,7 @@ OPEN_END = "9999-12-31 00:00:00"
 
 
 def answer_spans(parents: DataFrame, keys: Sequence[str], loaded: str, withdrawn: str) -> DataFrame:
-    """One row per key with ``spans``, an array of (from, to) in which some parent of that key is valid.
+    """One row per key with ``_orphan_spans``, an array of (from, to) in which some parent of that key is valid.
 
     Aggregated twice, first on (key, load time), with partial aggregation before either shuffle, so that a key with any
     number of parents becomes at most as many spans as it has load times."""
@@ -22,7 +22,7 @@ def answer_spans(parents: DataFrame, keys: Sequence[str], loaded: str, withdrawn
         .groupBy(*keys, F.col(loaded).cast("timestamp").alias("_from"))
         .agg(longest.alias("_to"))
         .groupBy(*keys)
-        .agg(F.collect_list(F.struct("_from", "_to")).alias("spans"))
+        .agg(F.collect_list(F.struct("_from", "_to")).alias("_orphan_spans"))
     )
 
 
@@ -66,10 +66,10 @@ def orphans(
             parts.append(rows.withColumn("reason", F.lit("partial")))
             continue
         used = [k for k, m in zip(keys, mask) if not m]
-        own = [f"_key{i}" for i in range(len(used))]
+        own = [f"_orphan_key{i}" for i in range(len(used))]
         named = parents.select(*(F.col(f"`{p}`").alias(o) for (_, p), o in zip(used, own)), F.col(loaded).alias("_loaded"), F.col(withdrawn).alias("_withdrawn")).dropna(subset=own)
         spans = answer_spans(named, own, "_loaded", "_withdrawn")
         when = F.coalesce(F.col(at).cast("timestamp"), F.to_timestamp(F.lit(OPEN_END)))
         joined = rows.join(spans, reduce(lambda a, b: a & b, (F.col(f"`{r}`") == F.col(o) for (r, _), o in zip(used, own))), "left")
-        parts.append(joined.withColumn("reason", _reason(F.col("spans"), when)).where("reason is not null").drop("spans", *own))
+        parts.append(joined.withColumn("reason", _reason(F.col("_orphan_spans"), when)).where("reason is not null").drop("_orphan_spans", *own))
     return reduce(DataFrame.unionByName, parts)

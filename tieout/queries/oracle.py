@@ -1,6 +1,7 @@
 """SQL twins of the queries, for DuckDB."""
 
 from tieout.functions.headers import SYNONYMS
+from tieout.operators import units
 from tieout.queries import reconcile, reports, texts
 
 #: An id as functions.ids.same_id has it.
@@ -39,8 +40,34 @@ o as (
 select f.file_id, o.field, o.change from o join f on o.series_id = f.series_id and o.seq = f.seq where o.seq > 1
 """
 
+_NUM = r"\d+(?:[.,'' \x{00A0}]\d+)*"
+_PERIOD = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{k}'" for k, p in units.PERIODS.items()) + " end"
+_FREQ = lambda c: rf"case regexp_extract({c}, '^(?:paid )?(12|24|26|52|4|1)(?:\s+(?:pays?|cheques?|checks?|times?|periods?|pay periods)(?:\s+(?:a|per)\s+year)?)?$', 1) " + " ".join(f"when '{n}' then '{k}'" for k, n in units.PAYS.items()) + f" else nullif({_PERIOD(c)}, 'pay') end"
+#: Periods per year and cents per unit of money, written out: what the graph composes.
+_YEARLY = ", ".join(f"('{k}', {n})" for k, n in units.PAYS.items())
+_P5 = rf"""
+with yearly(per, pays) as (values {_YEARLY}), scales(scale, cents) as (values ('cent', 1), ('dollar', 100), ('thousand', 100000)),
+r as (select s.*, lower(coalesce(value_text, '')) as v, lower(coalesce(unit_text, '')) as u, lower(coalesce(note, '')) as note from stated_amount s left join reading_source using (source_id)),
+a as (select *, regexp_replace(v, '^.*?{_NUM}', '') as after, regexp_replace(regexp_extract(v, '{_NUM}'), '['' \x{{00A0}}]', '', 'g') as digits from r),
+w as (select *, after || ' ' || u as words,
+    case when contains(digits, ',') and contains(digits, '.') then case when instr(reverse(digits), ',') < instr(reverse(digits), '.') then replace(replace(digits, '.', ''), ',', '.') else replace(digits, ',', '') end
+      when contains(digits, ',') then case when regexp_matches(digits, '^\d{{1,3}}(,\d{{3}})+$') or regexp_matches(digits, ',.*,') then replace(digits, ',', '') else replace(digits, ',', '.') end
+      when regexp_matches(digits, '\..*\.') then replace(digits, '.', '') else digits end as plain from a),
+x as (select *, regexp_matches(words, 'hour|/\s*hr|\bhrs?\b|\bh\b') as hourly, try_cast(regexp_extract(words, '(\d+(?:\.\d+)?)\s*(?:hours|hrs|hr|h)\b', 1) as decimal(10,4)) as hours,
+    coalesce({_PERIOD("after")}, {_PERIOD("u")}) as said, {_FREQ("trim(lower(case when field = 'pay_frequency' then value_text else pay_frequency end))")} as pay from w),
+y as (select *, case when hourly then case when regexp_matches(words, '(hours|hrs|hr|h)\b\s*(a|per|/)\s*y(ea)?r') then 'year' else 'week' end when said = 'pay' then pay else coalesce(said, case when field = 'gross_annual_taxable_wages' then 'year' else 'month' end) end as per,
+    case when regexp_matches(words, '\bcents?\b|¢') then 'cent' when regexp_matches(after, '^\s*k\b|thousand|\$?000s') or regexp_matches(u, 'thousand|\bk\b|\$000') then 'thousand'
+      when regexp_matches(v || ' ' || u, '\$|usd|dollar') then 'dollar' when regexp_matches(note, '\bcents\b') then 'cent' when regexp_matches(note, 'thousand|\$?000') then 'thousand' else 'dollar' end as scale,
+    (try_cast(plain as decimal(20,4)) * case when hourly then hours else 1 end * case when regexp_matches(v, '^\s*\(.*\d.*\)') or regexp_matches(v, '^[^\d]*-\s*[$]?\s*\d') then -1 else 1 end * 100000000)::hugeint as n from x)
+select reading_id, field, ((2::hugeint * n * cents * pays + 100000000::hugeint * d) // (200000000::hugeint * d))::bigint as common_value from (
+  select *, case when field = 'gross_annual_taxable_wages' then 1 else 12 end as d from y join yearly using (per) join scales using (scale)
+  where field in ('gross_annual_taxable_wages', 'employee_monthly_allotment') and n is not null and not contains(v || u, '#'))
+union all select reading_id, field, pays::bigint from y join yearly on pay = yearly.per where field = 'pay_frequency'
+"""
+
 SQL: dict[str, str] = reconcile.SQL | texts.SQL | reports.SQL | {
     "p4_found": _P4,
+    "p5_found": _P5,
     "p1_found": _P1 + "select * from o",
     "p1_report": _P1 + "select src_table, period, reason, count(*) as n_refs from o group by all",
 }
