@@ -1,6 +1,6 @@
 """SQL twins of the queries, for DuckDB."""
 
-from tieout.functions.headers import SYNONYMS
+from tieout.functions.headers import CENSUS, NUMBERS, PROPOSAL, SYNONYMS
 from tieout.operators import units
 from tieout.queries import reconcile, reports, texts
 
@@ -40,6 +40,19 @@ o as (
 select f.file_id, o.field, o.change from o join f on o.series_id = f.series_id and o.seq = f.seq where o.seq > 1
 """
 
+_FIELDS = list(dict.fromkeys([*CENSUS, *PROPOSAL]))
+_UNIFIED = ", ".join(
+    f"max(case when field = '{f}' and type = 'VARCHAR' then v end) as {f}__text, max(case when field = '{f}' and type <> 'VARCHAR' then try_cast(v as double) end) as {f}__number, max(case when field = '{f}' then try_cast(regexp_replace(v, '[$,\\s]', '', 'g') as double) end) as {f}"
+    if f in NUMBERS
+    else f"max(case when field = '{f}' then trim(v, ' ') end) as {f}"
+    for f in _FIELDS
+)
+_P4U = _P4.split("s as (")[0].rstrip().rstrip(",") + f""",
+u as (select file_id, row_ord, slot, field, type, json_extract_string(cells, '$."' || header || '"') as v from (
+  select r.file_id, r.row_ord, k.slot, k.header, k.field, r.cells, json_type(json_extract(r.cells, '$."' || k.header || '"')) as type
+  from upload_row r join (select distinct file_id, slot, header, field from t join syn using (slot, plain)) k using (file_id)) where type is not null and type <> 'NULL')
+select file_id, row_ord, slot, {_UNIFIED} from u group by all
+"""
 _NUM = r"\d+(?:[.,'' \x{00A0}]\d+)*"
 _PERIOD = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{k}'" for k, p in units.PERIODS.items()) + " end"
 _FREQ = lambda c: rf"case regexp_extract({c}, '^(?:paid )?(12|24|26|52|4|1)(?:\s+(?:pays?|cheques?|checks?|times?|periods?|pay periods)(?:\s+(?:a|per)\s+year)?)?$', 1) " + " ".join(f"when '{n}' then '{k}'" for k, n in units.PAYS.items()) + f" else nullif({_PERIOD(c)}, 'pay') end"
@@ -67,6 +80,7 @@ union all select reading_id, field, pays::bigint from y join yearly on pay = yea
 
 SQL: dict[str, str] = reconcile.SQL | texts.SQL | reports.SQL | {
     "p4_found": _P4,
+    "p4_unified": _P4U,
     "p5_found": _P5,
     "p1_found": _P1 + "select * from o",
     "p1_report": _P1 + "select src_table, period, reason, count(*) as n_refs from o group by all",
