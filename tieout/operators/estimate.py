@@ -44,9 +44,7 @@ def fit_one(seen: Mapping[str, float], sd: Mapping[str, float] | None = None, hu
         far = np.abs((a @ x - b) * np.sqrt(base))
         weight = base * np.minimum(1.0, huber / np.maximum(far, 1e-12))
     spread = np.sqrt(np.clip(np.diag(np.linalg.pinv((a * base[:, None]).T @ a)), 0, None))
-    read = np.array([seen.get(f, np.nan) for f in names])
     gaps = [float(sum(c * seen[f] for f, c in i.items())) for i in used if all(f in seen for f in i)]
-    del read
     return dict(zip(names, np.round(x, 2).tolist())), dict(zip(names, np.round(spread, 4).tolist())), [round(g, 2) for g in gaps]
 
 
