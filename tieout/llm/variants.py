@@ -1,7 +1,5 @@
 """Variant spellings of names: phonetic blocks, Jaro-Winkler with nicknames, connected components."""
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
