@@ -51,19 +51,59 @@ def fit_one(seen: Mapping[str, float], sd: Mapping[str, float] | None = None, hu
 FIT = "fitted map<string,double>, sd map<string,double>, gaps array<double>, suspect string"
 
 
+def fit_many(seen: np.ndarray, sd: Mapping[str, float] | None = None, huber: float = 2.5, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``fit_one`` for many statements at once, a row each with the columns FIELDS and NaN for what wasn't read: fitted
+    values, their standard deviations, and what each identity of the fitted values misses by, NaN where there are none.
+    Statements with the same figures share a system; one whose weights have settled isn't solved again."""
+    fitted, spread, misses = np.full(seen.shape, np.nan), np.full(seen.shape, np.nan), np.full((len(seen), len(IDENTITIES)), np.nan)
+    have = ~np.isnan(seen)
+    codes = have @ (1 << np.arange(len(FIELDS)))
+    for code in np.unique(codes):
+        rows = np.flatnonzero(codes == code)
+        read = np.flatnonzero(have[rows[0]])
+        if len(read) < 3:
+            continue
+        used = [k for k, i in enumerate(IDENTITIES) if sum(FIELDS.index(f) in read for f in i) >= 2]
+        every = np.vstack([np.eye(len(FIELDS))[read], np.array([[IDENTITIES[k].get(f, 0.0) for f in FIELDS] for k in used]).reshape(-1, len(FIELDS))])
+        cols = np.flatnonzero(every.any(axis=0))
+        a = every[:, cols]
+        base = np.r_[[1 / max((sd or {}).get(FIELDS[c], READ_SD), 1e-6) ** 2 for c in read], [1 / IDENTITY_SD**2] * len(used)]
+        b = np.hstack([seen[np.ix_(rows, read)], np.zeros((len(rows), len(used)))])
+        # The least solution lies in the row space of the system, whatever the weights: there it is the only one.
+        _, values, right = np.linalg.svd(a)
+        space = right[: int((values > 1e-9).sum())].T
+        g = a @ space
+        squares = (g[:, :, None] * g[:, None, :]).reshape(len(g), -1)
+        weight, z, live = np.tile(base, (len(rows), 1)), np.zeros((len(rows), g.shape[1])), np.arange(len(rows))
+        for _ in range(rounds):
+            w = weight[live]
+            z[live] = np.linalg.solve((w @ squares).reshape(-1, *[g.shape[1]] * 2), ((w * b[live]) @ g)[:, :, None])[:, :, 0]
+            far = np.abs((z[live] @ g.T - b[live]) * np.sqrt(base))
+            weight[live] = base * np.minimum(1.0, huber / np.maximum(far, 1e-12))
+            live = live[(weight[live] != w).any(axis=1)]
+        x = z @ space.T
+        fitted[np.ix_(rows, cols)] = x
+        spread[np.ix_(rows, cols)] = np.sqrt(np.clip(np.diag(np.linalg.pinv((a * base[:, None]).T @ a)), 0, None))
+        misses[np.ix_(rows, used)] = x @ a[len(read) :].T
+    return fitted, spread, misses
+
+
 def fits(rows: DataFrame, key: str, sd: Mapping[str, float] | None = None) -> DataFrame:
     """(key, fitted, sd, gaps, suspect) of statements: ``suspect`` is the reading farthest from its fit, if it is more
-    than three deviations off. Row by row, in batches; no shuffle."""
+    than three deviations off. In batches; no shuffle."""
+    signs = np.array([[i.get(f, 0.0) for f in FIELDS] for i in IDENTITIES])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             out = []
-            for k, *values in df[[key, *FIELDS]].itertuples(index=False):
-                seen = {f: float(v) for f, v in zip(FIELDS, values) if v is not None and v == v}
-                fitted, spread, gaps = fit_one(seen, sd)
-                off = {f: abs(seen[f] - fitted[f]) / (sd or {}).get(f, READ_SD) for f in seen if f in fitted}
+            seen = df[list(FIELDS)].to_numpy(dtype=float, na_value=np.nan)
+            fitted, spread, misses = fit_many(seen, sd)
+            gaps = np.where(np.isnan(misses), np.nan, np.stack([seen[:, s != 0] @ s[s != 0] for s in signs], axis=1)).round(2)
+            for k, y, x, v, gap in zip(df[key], seen, fitted.round(2).tolist(), spread.round(4).tolist(), gaps.tolist()):
+                fit = {f: c for f, c in zip(FIELDS, x) if c == c}
+                off = {f: abs(c - fit[f]) / (sd or {}).get(f, READ_SD) for f, c in zip(FIELDS, y.tolist()) if c == c and f in fit}
                 worst = max(off, key=lambda f: (off[f], f), default=None)
-                out.append((k, fitted, spread, gaps, worst if worst and off[worst] > 3 else None))
+                out.append((k, fit, {f: c for f, c in zip(FIELDS, v) if c == c}, [c for c in gap if c == c], worst if worst and off[worst] > 3 else None))
             yield pd.DataFrame(out, columns=[key, "fitted", "sd", "gaps", "suspect"])
 
     kind = dict(rows.dtypes)[key]
