@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tieout.functions import money
 from tieout.operators import estimate
 from tieout.queries import texts
 
@@ -22,3 +23,33 @@ def test_many_fits_are_those_of_one(spark, tiny):
         one, one_sd, _ = estimate.fit_one({f: v for f, v in zip(estimate.FIELDS, y) if v == v})
         assert one.keys() == {f for f, v in zip(estimate.FIELDS, fitted) if v == v}
         assert all(abs(one[f] - fitted[i]) < 0.011 and abs(one_sd[f] - spread[i]) < 0.0002 for i, f in enumerate(estimate.FIELDS) if f in one)
+
+
+def test_alternatives_are_the_misreadings(spark):
+    for v in (1500.0, 0.0, -12.34, 7.05, 123456.78):
+        want = spark.range(1).select(money.misreadings(F.lit(v), 400)).first()[0]
+        got = estimate.alternatives(v)
+        assert sorted((round(x, 2), round(w, 6)) for x, w in got) == sorted((x.value, round(x.weight, 6)) for x in want)
+
+
+def test_what_was_read_is_a_candidate(spark):
+    kind = "k int, " + ", ".join(f"{f} double" for f in (*estimate.FIELDS, *estimate.UNFITTED)) + ", e double"
+    rest = {"federal": 100.0, "state": 50.0, "social_security": 93.0, "medicare": 21.75, "retirement": 35.25, "other_total": 0.0, "total_deductions": 300.0}
+    figures = [
+        (1, rest | {"gross": 1500.0, "net_pay": 1200.0}, 1400.0),  # a raise: all ties
+        (2, rest | {"gross": 1500.0, "net_pay": 1500.0}, 1800.0),  # 8 read as 5
+        (3, rest | {"gross": 1500.0, "net_pay": 1200.0, "federal": 600.0}, 1500.0),  # gross is as expected
+        (4, {"gross": 1500.0}, 1501.0),  # nothing is in doubt
+    ]
+    rows = spark.createDataFrame([(k, *(x.get(f) for f in (*estimate.FIELDS, *estimate.UNFITTED)), e) for k, x, e in figures], kind)
+    got = {(r.k, r.field): r for r in estimate.readings(rows, "k", {"gross": ("e", 10.0)}).collect()}
+    assert got[1, "gross"].value == 1500.0
+    assert got[2, "gross"].value == 1800.0 and got[2, "gross"].decisive
+    assert {k for k, _ in got} == {1, 2, 3} and (3, "gross") not in got
+
+
+def test_likely_reading_of_all_fields(spark, tiny):
+    got = texts.likely_reading(spark, tiny)
+    assert {"gross", "retirement", "net_pay"} <= {r.field for r in got.select("field").distinct().collect()}
+    read = spark.read.parquet(f"{tiny}/paycheck.parquet").select("rec_id", F.col("gross").alias("read"))
+    assert got.where("field = 'gross'").join(read, "rec_id").where("value = read").count() > 0

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tieout.functions.money import CONFUSED
+
 #: The figures of a statement, and the identities that hold among them.
 FIELDS = ("gross", "federal", "state", "social_security", "medicare", "retirement", "other_total", "total_deductions", "net_pay", "taxable_wages", "medicare_gross", "premium")
 IDENTITIES = (
@@ -18,6 +20,9 @@ IDENTITIES = (
 )
 #: Standard deviations of a reading and of an identity, where a calibration gives none.
 READ_SD, IDENTITY_SD = 0.05, 0.02
+#: The lines that together can't exceed gross less net, and what is material there; those of them that aren't fitted.
+LINES, MATERIAL = ("federal", "state", "social_security", "medicare", "retirement", "retirement_insurance", "other_total", "premium", "fee"), 1.0
+UNFITTED = tuple(f for f in LINES if f not in FIELDS)
 
 
 def fit_one(seen: Mapping[str, float], sd: Mapping[str, float] | None = None, huber: float = 2.5, rounds: int = 4) -> tuple[dict[str, float], dict[str, float], list[float]]:
@@ -133,6 +138,65 @@ def intervals(rows: DataFrame, key: Sequence[str], before: str, after: str, prom
     return some.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", low double, high double, material double")
 
 
+def alternatives(value: float, limit: int = 400) -> list[tuple[float, float]]:
+    """``money.misreadings`` of one value, for use within batches."""
+    s = f"{value:.2f}"
+    out = [(float(s[:i] + c + s[i + 1 :]), 1 / len(CONFUSED[d])) for i, d in enumerate(s) if d in CONFUSED for c in CONFUSED[d]]
+    out += [(float(d + s), 0.02) for d in "123456789" if s[0] != "-"] + [(round(value * 100, 2), 0.01)]
+    return sorted(((v, w) for v, w in out if abs(v - value) > 0.001), key=lambda x: (-x[1], x[0]))[:limit]
+
+
+def misfits(seen: np.ndarray, unfitted: np.ndarray, sd: Mapping[str, float] | None = None) -> np.ndarray:
+    """Dollars by which statements don't tie after their fit: over all identities, by which the lines read exceed gross
+    less net, and by which they fall short of the printed total where one of them was read as nothing."""
+    parts = [fit_many(seen[i : i + 4096], sd)[2] for i in range(0, len(seen), 4096)]
+    out = np.nansum(np.abs(np.vstack([np.empty((0, len(IDENTITIES))), *parts]).round(2)), axis=1)
+    lines = np.hstack([seen[:, [FIELDS.index(f) for f in LINES if f in FIELDS]], unfitted])
+    gross, net, total = (seen[:, FIELDS.index(f)] for f in ("gross", "net_pay", "total_deductions"))
+    excess, short = np.nansum(lines, axis=1) - (gross - net), total - np.nansum(lines, axis=1)
+    out += np.where(excess > MATERIAL, excess.round(2), 0.0)
+    return out + np.where((short > MATERIAL) & (np.abs(lines) < 0.005).any(axis=1), short.round(2), 0.0)
+
+
+def readings(rows: DataFrame, key: str, expected: Mapping[str, tuple[str, float]], temperature: float = 5.0, margin: float = 2.0, decisive: float = 0.9) -> DataFrame:
+    """(key, field, value, p, decisive): what figures in doubt were printed as, likeliest of the value read, with prior 1,
+    and its misreadings. Each is weighed by how badly the statement ties with it, solved anew, and by what another
+    document expects. In doubt are the reading farthest from its fit and those over three deviations from what is
+    expected. ``expected``: field to the column that has it and its deviation."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            seen, unfitted = (df[list(c)].to_numpy(dtype=float, na_value=np.nan) for c in (FIELDS, UNFITTED))
+            fitted = fit_many(seen)[0]
+            off = np.nan_to_num(np.abs(seen - fitted.round(2)) / READ_SD, nan=-1.0)
+            doubt = (off == off.max(axis=1, keepdims=True)) & (off > 3)
+            want, sds = np.full(seen.shape, np.nan), np.ones(len(FIELDS))
+            for f, (_, dev) in expected.items():
+                want[:, FIELDS.index(f)], sds[FIELDS.index(f)] = df[f"_{f}"].to_numpy(dtype=float, na_value=np.nan), max(dev, 0.01)
+            doubt |= np.nan_to_num(np.abs(seen - want)) > 3 * sds
+            r, c = np.nonzero(doubt)
+            each = [[(v, 1.0), *alternatives(v)] for v in seen[r, c].tolist()]
+            sizes = np.array([len(x) for x in each], dtype=int)
+            start, at = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(r)), sizes)
+            value, prior = np.array([x for e in each for x in e], dtype=float).reshape(-1, 2).T
+            trial = seen[r[at]]
+            trial[np.arange(len(at)), c[at]] = value
+            rest = unfitted[r[at]]
+            score = np.log(prior) - misfits(trial, rest) / temperature - np.nan_to_num(0.5 * ((value - want[r[at], c[at]]) / sds[c[at]]) ** 2)
+            out = []
+            for row, col, i, n in zip(r, c, start, sizes):
+                s = np.exp(score[i : i + n] - score[i : i + n].max())
+                s /= s.sum()
+                first, second = np.argsort(-s, kind="stable")[:2]
+                out.append((df[key].iat[row], FIELDS[col], round(float(value[i + first]), 2), round(float(s[first]), 6), bool(s[first] >= decisive and s[first] > margin * s[second])))
+            yield pd.DataFrame(out, columns=[key, "field", "value", "p", "decisive"])
+
+    figures = [F.col(f).cast("double").alias(f) for f in (*FIELDS, *UNFITTED)]
+    some = rows.select(key, *figures, *(F.col(c).cast("double").alias(f"_{f}") for f, (c, _) in expected.items()))
+    return some.mapInPandas(run, f"{key} {kind}, field string, value double, p double, decisive boolean")
+
+
 def likely_reading(candidates: DataFrame, key: Sequence[str], value: str, weight: str, expected: str, sd: float, margin: float = 2.0, decisive: float = 0.9) -> DataFrame:
     """(key, value, p, decisive): of the candidates of a figure the likeliest, by weight and by how near it lies to what
     is expected; decisive at ``decisive`` or more if over ``margin`` times the next. Without weight nobody is likely."""

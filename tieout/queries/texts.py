@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tieout.functions import money as m
 from tieout.functions import text as t
 from tieout.functions.headers import CENSUS
+from tieout.functions.ids import same_id
 from tieout.operators import controls, estimate, geometry, matching, ordered, roster
 from tieout.operators.drift import cell_tags
 from tieout.plans.lineage import ensure_checkpoint_dir
@@ -158,10 +159,10 @@ def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def likely_reading(spark: SparkSession, d: str) -> DataFrame:
-    """For gross pay off from the census, the likeliest misreading."""
-    off = reconcile.expectations(spark, d).where("field = 'gross' and value > 0")
-    cand = off.select("rec_id", "expected", F.explode(m.misreadings(F.col("value"), 400)).alias("c")).select("rec_id", "expected", F.col("c.value").alias("value"), F.col("c.weight").alias("weight"))
-    return estimate.likely_reading(cand, ["rec_id"], "value", "weight", "expected", 10.0)
+    """For figures that don't fit their statement or are off from the census, what was likeliest printed."""
+    c = reconcile._census(spark, d).select("pack_id", "id", (F.col("gross_annual_taxable_wages") / F.col("pp")).alias("e_gross"), (F.col("retirement_401k_monthly") * 12 / F.col("pp")).alias("e_retirement"))
+    p = table(spark, d, "paycheck").select("rec_id", "pack_id", same_id("employee_id").alias("id"), *estimate.FIELDS, *estimate.UNFITTED)
+    return estimate.readings(p.join(c, ["pack_id", "id"], "left"), "rec_id", {"gross": ("e_gross", 10.0), "retirement": ("e_retirement", 2.0)})
 
 
 def roster_adopt(spark: SparkSession, d: str) -> DataFrame:
