@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import money
 from tieout.operators import estimate
-from tieout.queries import texts
+from tieout.queries import reconcile, texts
 
 
 def test_every_statement_is_fitted(spark, tiny):
@@ -53,3 +53,33 @@ def test_likely_reading_of_all_fields(spark, tiny):
     assert {"gross", "retirement", "net_pay"} <= {r.field for r in got.select("field").distinct().collect()}
     read = spark.read.parquet(f"{tiny}/paycheck.parquet").select("rec_id", F.col("gross").alias("read"))
     assert got.where("field = 'gross'").join(read, "rec_id").where("value = read").count() > 0
+
+
+def test_intervals_widen_with_doubt(spark):
+    rows = spark.createDataFrame([(1, 1000.0, 1100.0, 100.0, 12, 0.0), (2, 1000.0, 1100.0, 100.0, 12, 0.5), (3, 1000.0, 1050.0, 100.0, 24, 0.0)], "k int, b double, a double, p double, pp int, bad double")
+    got = {r.k: r for r in estimate.intervals(rows, ["k"], "b", "a", "p", 0.05, periods="pp", before_bad="bad", after_bad="bad").collect()}
+    assert got[1].high - got[1].low < 0.5 and got[1].material == 0
+    # Of the misreadings of both 3.19 of 6.19 by weight are off by over 25: 1 - (1 - 0.5 * 0.515) ** 2, less what cancels out.
+    assert got[2].high - got[2].low > 25 and 0.4 < got[2].material < 0.46
+    # Two pays a month: the deviations double too.
+    assert abs((got[3].high - got[3].low) / (got[1].high - got[1].low) - 2) < 0.01 and abs(got[3].low) < 0.5
+    # The draws of numpy's own choice.
+    rng = np.random.default_rng(12345)
+    v, w = np.array(estimate.alternatives(1000.0, 40)).T
+    noise, other, bad = rng.normal(0, 0.05, 4000), rng.choice(v, 4000, p=w / w.sum()), rng.random(4000) < 0.5
+    assert np.allclose(estimate.drawn(1000.0, 0.5, 0.05, *estimate.draw(4000, 12345, [True, True])[0]), np.where(bad, other, 1000.0 + noise))
+
+
+def test_wrong_shares():
+    seen = np.full((3, len(estimate.FIELDS)), np.nan)
+    at = [estimate.FIELDS.index(f) for f in ("gross", "total_deductions", "net_pay")]
+    seen[0, at], seen[1, at], seen[2, at[2]] = (9000.0, 2000.0, 7000.0), (9000.0, 2000.0, 1000.0), 7000.0
+    tied, broken, alone = estimate.wrong_shares(seen, "net_pay", 0)
+    assert tied == 0 and 0 < broken <= 1 and alone == estimate.OUTLIER_RATE
+
+
+def test_intervals_of_all_employees(spark, tiny):
+    got = texts.monte_carlo(spark, tiny)
+    e = reconcile.measures(spark, tiny).where("gap is not null")
+    assert got.count() == e.count() and got.join(e.where("abs(gap) <= 2"), ["pack_id", "id"]).count() > 0
+    assert got.select(F.round(F.col("high") - F.col("low"), 2)).distinct().count() > 5

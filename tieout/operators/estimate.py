@@ -20,8 +20,10 @@ IDENTITIES = (
 )
 #: Standard deviations of a reading and of an identity, where a calibration gives none.
 READ_SD, IDENTITY_SD = 0.05, 0.02
-#: The lines that together can't exceed gross less net, and what is material there; those of them that aren't fitted.
+#: The lines that together can't exceed gross less net, and what is material there; below, those of them that aren't fitted.
 LINES, MATERIAL = ("federal", "state", "social_security", "medicare", "retirement", "retirement_insurance", "other_total", "premium", "fee"), 1.0
+#: Fixed values of the calibration: how often a reading is wrong, by how many deviations, and dollars of one unit of doubt.
+OUTLIER_RATE, OUTLIER_SCALE, TEMPERATURE = 0.0779, 5000.0, 5.0
 UNFITTED = tuple(f for f in LINES if f not in FIELDS)
 
 
@@ -115,25 +117,78 @@ def fits(rows: DataFrame, key: str, sd: Mapping[str, float] | None = None) -> Da
     return rows.select(key, *(F.col(f).cast("double").alias(f) for f in FIELDS)).mapInPandas(run, f"{key} {kind}, {FIT}")
 
 
-def interval_one(before: float, after: float, promised: float, sd: float, draws: int, seed: int) -> tuple[float, float, float]:
-    """2.5 and 97.5 per cent points of the gap between the change and the promise when both readings vary by ``sd``, and
-    the chance that it is over 25 either way."""
+def wrong_shares(seen: np.ndarray, field: str, identity: int) -> np.ndarray:
+    """The chance that the reading of ``field`` is wrong, by the fit of its statement: its share of the blame among the
+    figures of an identity that doesn't tie, by how near their misreadings come to what is missing, halved for readings
+    near their fit. Nought where the identity ties, the usual rate where nothing could be fitted."""
+    at = FIELDS.index(field)
+    fitted, _, misses = fit_many(seen)
+    out = np.where(np.isnan(fitted).all(axis=1), OUTLIER_RATE, 0.0)
+    for r in np.flatnonzero(np.nan_to_num(np.abs(misses[:, identity].round(2))) > MATERIAL):
+        need, share = abs(round(misses[r, identity], 2)), {}
+        for f in IDENTITIES[identity]:
+            if not np.isnan(v := float(seen[r, FIELDS.index(f)])):
+                share[f] = math.exp(-min((abs(abs(x - v) - need) for x, _ in alternatives(v, 40)), default=need) / TEMPERATURE)
+        if field in share:
+            off = abs(fitted[r, at] - seen[r, at]) / READ_SD
+            good, bad = (1 - OUTLIER_RATE) * math.exp(-0.5 * min(off**2, 1e4)), OUTLIER_RATE / OUTLIER_SCALE * math.exp(-0.5 * min((off / OUTLIER_SCALE) ** 2, 1e4))
+            out[r] = round(min(1.0, share[field] / (sum(share.values()) or 1.0) * (0.5 + 0.5 * bad / max(good + bad, 1e-300))), 4)
+    return out
+
+
+def doubted(rows: DataFrame, keep: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """``keep``, and as ``<prefix>bad`` the chance that the net pay of the statement with this prefix is misread."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield df[list(keep)].assign(**{f"{x}bad": wrong_shares(df[[f"_{x}{f}" for f in FIELDS]].to_numpy(dtype=float, na_value=np.nan), "net_pay", 0) for x in prefixes})
+
+    kinds = dict(rows.dtypes)
+    some = rows.select(*keep, *(F.col(f"{x}{f}").cast("double").alias(f"_{x}{f}") for x in prefixes for f in FIELDS))
+    return some.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), *(f"{x}bad double" for x in prefixes)]))
+
+
+def draw(draws: int, seed: int, mixed: Sequence[bool]) -> list[tuple[np.ndarray, ...]]:
+    """For each figure in turn the deviations of its readings, and if it may be misread, the numbers that say as what
+    and whether."""
     rng = np.random.default_rng(seed)
-    gap = (after + rng.normal(0, sd, draws)) - (before + rng.normal(0, sd, draws)) - promised
-    low, high = np.percentile(gap, [2.5, 97.5])
-    return round(float(low), 4), round(float(high), 4), float(np.mean(np.abs(gap) > 25.0))
+    return [(rng.standard_normal(draws), *((rng.random(draws), rng.random(draws)) if m else ())) for m in mixed]
+
+
+def drawn(value: float, bad: float, sd: float, noise: np.ndarray, *mixture: np.ndarray) -> np.ndarray:
+    """Draws of a figure: near what was read, or with chance ``bad`` one of its misreadings by their weights."""
+    near = value + sd * noise
+    if not mixture:
+        return near
+    other, weight = np.array(alternatives(value, 40)).T
+    share = np.cumsum(weight / weight.sum())
+    return np.where(mixture[1] < bad, other[np.searchsorted(share / share[-1], mixture[0], side="right")], near)
 
 
-def intervals(rows: DataFrame, key: Sequence[str], before: str, after: str, promised: str, sd: float = 1.0, draws: int = 4000, seed: int = 12345) -> DataFrame:
-    """(key, low, high, material) by simulation, with one seed for every row, so that results don't depend on how rows
-    are spread. Rows with a missing figure are left out."""
+def intervals(rows: DataFrame, key: Sequence[str], before: str, after: str, promised: str, sd: float = 1.0, draws: int = 4000, seed: int = 12345, extra: str | None = None, periods: str | None = None, before_bad: str | None = None, after_bad: str | None = None) -> DataFrame:
+    """(key, low, high, material) by simulation: 2.5 and 97.5 per cent points of the gap between the change per month and
+    the promise, and the chance that it is over 25 either way. Both readings vary by ``sd``, and with the chances
+    ``before_bad`` and ``after_bad`` are misread; ``extra`` is added to the change of one of ``periods`` pays a year.
+    One seed for every row, so that results don't depend on how rows are spread. Rows with a missing figure are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = {(x, y): draw(draws, seed, (x, y)) for x in (False, True) for y in (False, True)}
+        plain = np.sort(numbers[False, False][1][0] - numbers[False, False][0][0]) * sd
         for df in batches:
-            got = [interval_one(b, a, p, sd, draws, seed) for b, a, p in zip(df["_b"], df["_a"], df["_p"])]
+            got = []
+            for b, a, p, more, month, b_bad, a_bad in df[["_b", "_a", "_p", "_x", "_m", "_bb", "_ab"]].itertuples(index=False):
+                if b_bad <= 0 and a_bad <= 0:
+                    gap = (plain + (a - b + more)) * month - p
+                else:
+                    of_b, of_a = numbers[b_bad > 0, a_bad > 0]
+                    gap = (drawn(a, a_bad, sd, *of_a) - drawn(b, b_bad, sd, *of_b) + more) * month - p
+                low, high = np.percentile(gap, [2.5, 97.5])
+                got.append((round(float(low), 4), round(float(high), 4), float(np.mean(np.abs(gap) > 25.0))))
             yield df[list(key)].assign(low=[g[0] for g in got], high=[g[1] for g in got], material=[g[2] for g in got])
 
-    some = rows.select(*key, F.col(before).cast("double").alias("_b"), F.col(after).cast("double").alias("_a"), F.col(promised).cast("double").alias("_p")).dropna(subset=["_b", "_a", "_p"])
+    number = lambda c, none: F.coalesce(F.col(c).cast("double"), F.lit(none)) if c else F.lit(none)
+    figures = {c: F.col(x).cast("double") for c, x in (("_b", before), ("_a", after), ("_p", promised))} | {"_x": number(extra, 0.0), "_m": number(periods, 12.0) / 12.0, "_bb": number(before_bad, 0.0), "_ab": number(after_bad, 0.0)}
+    some = rows.select(*key, *(x.alias(c) for c, x in figures.items())).dropna(subset=["_b", "_a", "_p"])
     kinds = dict(rows.dtypes)
     return some.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", low double, high double, material double")
 
@@ -158,7 +213,7 @@ def misfits(seen: np.ndarray, unfitted: np.ndarray, sd: Mapping[str, float] | No
     return out + np.where((short > MATERIAL) & (np.abs(lines) < 0.005).any(axis=1), short.round(2), 0.0)
 
 
-def readings(rows: DataFrame, key: str, expected: Mapping[str, tuple[str, float]], temperature: float = 5.0, margin: float = 2.0, decisive: float = 0.9) -> DataFrame:
+def readings(rows: DataFrame, key: str, expected: Mapping[str, tuple[str, float]], temperature: float = TEMPERATURE, margin: float = 2.0, decisive: float = 0.9) -> DataFrame:
     """(key, field, value, p, decisive): what figures in doubt were printed as, likeliest of the value read, with prior 1,
     and its misreadings. Each is weighed by how badly the statement ties with it, solved anew, and by what another
     document expects. In doubt are the reading farthest from its fit and those over three deviations from what is

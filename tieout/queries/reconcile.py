@@ -25,14 +25,18 @@ def _run(spark: SparkSession, d: str, run: str, columns: list[str]) -> DataFrame
     return matching.first_wins(p, ["pack_id", "id"], ["rec_id"]).select("pack_id", "id", *(F.col(c).alias(f"{run[0]}_{c}") for c in ["rec_id", *columns]))
 
 
-def measures(spark: SparkSession, d: str) -> DataFrame:
-    """One row per census employee with both runs, the promise, and what changed per month."""
-    cols = ["gross", "net_pay", "federal", "state", "social_security", "medicare", "product", "fee"]
+def pairs(spark: SparkSession, d: str, cols: list[str]) -> DataFrame:
+    """One row per census employee with the promise and columns of both runs."""
     promise = matching.first_wins(table(spark, d, "proposal").select("pack_id", same_id("client_employee_id").alias("id"), "rec_id", F.col("employee_monthly_allotment").alias("promised")), ["pack_id", "id"], ["rec_id"]).select("pack_id", "id", "promised")
     e = _census(spark, d)
     for run in ("before", "after"):
         e = e.join(_run(spark, d, run, cols), ["pack_id", "id"], "left")
-    e = e.join(promise, ["pack_id", "id"], "left")
+    return e.join(promise, ["pack_id", "id"], "left")
+
+
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    """One row per census employee with both runs, the promise, and what changed per month."""
+    e = pairs(spark, d, ["gross", "net_pay", "federal", "state", "social_security", "medicare", "product", "fee"])
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     saved = lambda k: m.per_month(F.col(f"b_{k}") - F.col(f"a_{k}"), F.col("pp"))
     fica = F.when(F.col("b_social_security").isNotNull() | F.col("b_medicare").isNotNull(), m.per_month((z("b_social_security") + z("b_medicare")) - (z("a_social_security") + z("a_medicare")), F.col("pp")))

@@ -153,9 +153,10 @@ def identity_solve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monte_carlo(spark: SparkSession, d: str) -> DataFrame:
-    """Simulated intervals of the gap, for employees whose gap is over two dollars."""
-    e = reconcile.measures(spark, d).where("abs(gap) > 2").select("pack_id", "id", F.lit(0.0).alias("b"), F.col("net_change").alias("a"), F.col("promised").alias("p"))
-    return estimate.intervals(e, ["pack_id", "id"], "b", "a", "p")
+    """Simulated intervals of the gap, for all employees with both net pays and a promise."""
+    e = reconcile.pairs(spark, d, [*estimate.FIELDS, "product"]).where("b_net_pay is not null and a_net_pay is not null and promised is not null and pp > 0")
+    e = estimate.doubted(e, ["pack_id", "id", "pp", "promised", "b_net_pay", "a_net_pay", "a_product"], ["b_", "a_"])
+    return estimate.intervals(e, ["pack_id", "id"], "b_net_pay", "a_net_pay", "promised", estimate.READ_SD, extra="a_product", periods="pp", before_bad="b_bad", after_bad="a_bad")
 
 
 def likely_reading(spark: SparkSession, d: str) -> DataFrame:
