@@ -61,7 +61,8 @@ FIT = "fitted map<string,double>, sd map<string,double>, gaps array<double>, sus
 def fit_many(seen: np.ndarray, sd: Mapping[str, float] | None = None, huber: float = 2.5, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``fit_one`` for many statements at once, a row each with the columns FIELDS and NaN for what wasn't read: fitted
     values, their standard deviations, and what each identity of the fitted values misses by, NaN where there are none.
-    Statements with the same figures share a system; one whose weights have settled isn't solved again."""
+    Statements with the same figures share a system, solved for the identities' multipliers, at most as many as there are
+    identities; a statement whose weights have settled isn't solved again."""
     fitted, spread, misses = np.full(seen.shape, np.nan), np.full(seen.shape, np.nan), np.full((len(seen), len(IDENTITIES)), np.nan)
     have = ~np.isnan(seen)
     codes = have @ (1 << np.arange(len(FIELDS)))
@@ -71,27 +72,31 @@ def fit_many(seen: np.ndarray, sd: Mapping[str, float] | None = None, huber: flo
         if len(read) < 3:
             continue
         used = [k for k, i in enumerate(IDENTITIES) if sum(FIELDS.index(f) in read for f in i) >= 2]
-        every = np.vstack([np.eye(len(FIELDS))[read], np.array([[IDENTITIES[k].get(f, 0.0) for f in FIELDS] for k in used]).reshape(-1, len(FIELDS))])
-        cols = np.flatnonzero(every.any(axis=0))
-        a = every[:, cols]
+        law = np.array([[IDENTITIES[k].get(f, 0.0) for f in FIELDS] for k in used]).reshape(-1, len(FIELDS))
+        unread = np.flatnonzero(law.any(axis=0) & ~have[rows[0]])
+        a, u = law[:, read], law[:, unread]
         base = np.r_[[1 / max((sd or {}).get(FIELDS[c], READ_SD), 1e-6) ** 2 for c in read], [1 / IDENTITY_SD**2] * len(used)]
-        b = np.hstack([seen[np.ix_(rows, read)], np.zeros((len(rows), len(used)))])
-        # The least solution lies in the row space of the system, whatever the weights: there it is the only one.
-        _, values, right = np.linalg.svd(a)
-        space = right[: int((values > 1e-9).sum())].T
-        g = a @ space
-        squares = (g[:, :, None] * g[:, None, :]).reshape(len(g), -1)
-        weight, z, live = np.tile(base, (len(rows), 1)), np.zeros((len(rows), g.shape[1])), np.arange(len(rows))
-        for _ in range(rounds):
+        y = seen[np.ix_(rows, read)]
+        # Figures that weren't read take up what they can: what they leave of the identities is tied to the readings.
+        left, values, _ = np.linalg.svd(u) if u.size else (np.eye(len(used)), np.zeros(0), None)
+        free = left[:, int((values > 1e-9).sum()) :]
+        g = np.hstack([free.T @ a, free.T])  # of the readings' and the identities' deviations
+        squares = (g.T[:, :, None] * g.T[:, None, :]).reshape(g.shape[1], -1)
+        gap = y @ g[:, : len(read)].T
+        weight, moved, live = np.tile(base, (len(rows), 1)), np.zeros((len(rows), len(base))), np.arange(len(rows))
+        for _ in range(rounds if g.size else 0):
             w = weight[live]
-            z[live] = np.linalg.solve((w @ squares).reshape(-1, *[g.shape[1]] * 2), ((w * b[live]) @ g)[:, :, None])[:, :, 0]
-            far = np.abs((z[live] @ g.T - b[live]) * np.sqrt(base))
-            weight[live] = base * np.minimum(1.0, huber / np.maximum(far, 1e-12))
+            pull = np.linalg.solve(((1 / w) @ squares).reshape(-1, len(g), len(g)), gap[live][:, :, None])[:, :, 0]
+            moved[live] = (pull @ g) / w
+            weight[live] = base * np.minimum(1.0, huber / np.maximum(np.abs(moved[live] * np.sqrt(base)), 1e-12))
             live = live[(weight[live] != w).any(axis=1)]
-        x = z @ space.T
-        fitted[np.ix_(rows, cols)] = x
-        spread[np.ix_(rows, cols)] = np.sqrt(np.clip(np.diag(np.linalg.pinv((a * base[:, None]).T @ a)), 0, None))
-        misses[np.ix_(rows, used)] = x @ a[len(read) :].T
+        x, miss = y - moved[:, : len(read)], moved[:, len(read) :]
+        fitted[np.ix_(rows, read)], misses[np.ix_(rows, used)] = x, miss
+        if u.size:
+            fitted[np.ix_(rows, unread)] = (miss - x @ a.T) @ np.linalg.pinv(u).T
+        every = np.vstack([np.eye(len(FIELDS))[read], law])
+        cols = np.r_[read, unread]
+        spread[np.ix_(rows, cols)] = np.sqrt(np.clip(np.diag(np.linalg.pinv((every[:, cols] * base[:, None]).T @ every[:, cols])), 0, None))
     return fitted, spread, misses
 
 
@@ -204,7 +209,7 @@ def alternatives(value: float, limit: int = 400) -> list[tuple[float, float]]:
 def misfits(seen: np.ndarray, unfitted: np.ndarray, sd: Mapping[str, float] | None = None) -> np.ndarray:
     """Dollars by which statements don't tie after their fit: over all identities, by which the lines read exceed gross
     less net, and by which they fall short of the printed total where one of them was read as nothing."""
-    parts = [fit_many(seen[i : i + 4096], sd)[2] for i in range(0, len(seen), 4096)]
+    parts = [fit_many(seen[i : i + 65536], sd)[2] for i in range(0, len(seen), 65536)]
     out = np.nansum(np.abs(np.vstack([np.empty((0, len(IDENTITIES))), *parts]).round(2)), axis=1)
     lines = np.hstack([seen[:, [FIELDS.index(f) for f in LINES if f in FIELDS]], unfitted])
     gross, net, total = (seen[:, FIELDS.index(f)] for f in ("gross", "net_pay", "total_deductions"))
@@ -237,15 +242,17 @@ def readings(rows: DataFrame, key: str, expected: Mapping[str, tuple[str, float]
             value, prior = np.array([x for e in each for x in e], dtype=float).reshape(-1, 2).T
             trial = seen[r[at]]
             trial[np.arange(len(at)), c[at]] = value
-            rest = unfitted[r[at]]
-            score = np.log(prior) - misfits(trial, rest) / temperature - np.nan_to_num(0.5 * ((value - want[r[at], c[at]]) / sds[c[at]]) ** 2)
-            out = []
-            for row, col, i, n in zip(r, c, start, sizes):
-                s = np.exp(score[i : i + n] - score[i : i + n].max())
-                s /= s.sum()
-                first, second = np.argsort(-s, kind="stable")[:2]
-                out.append((df[key].iat[row], FIELDS[col], round(float(value[i + first]), 2), round(float(s[first]), 6), bool(s[first] >= decisive and s[first] > margin * s[second])))
-            yield pd.DataFrame(out, columns=[key, "field", "value", "p", "decisive"])
+            score = np.log(prior) - misfits(trial, unfitted[r[at]]) / temperature - np.nan_to_num(0.5 * ((value - want[r[at], c[at]]) / sds[c[at]]) ** 2)
+            if not len(r):
+                continue
+            chance = np.exp(score - np.maximum.reduceat(score, start)[at])
+            chance /= np.add.reduceat(chance, start)[at]
+            top = np.flatnonzero(chance == np.maximum.reduceat(chance, start)[at])
+            top = top[np.unique(at[top], return_index=True)[1]]
+            p, rest = chance[top], chance.copy()
+            rest[top] = 0.0
+            sure = (p >= decisive) & (p > margin * np.maximum.reduceat(rest, start))
+            yield pd.DataFrame({key: df[key].to_numpy()[r], "field": np.array(FIELDS, dtype=object)[c], "value": value[top].round(2), "p": p.round(6), "decisive": sure})
 
     figures = [F.col(f).cast("double").alias(f) for f in (*FIELDS, *UNFITTED)]
     some = rows.select(key, *figures, *(F.col(c).cast("double").alias(f"_{f}") for f, (c, _) in expected.items()))
