@@ -114,20 +114,20 @@ def _votes(fields_of_names: Sequence[str]):
     return run
 
 
-def survivors(rows: DataFrame, fields: Mapping[str, str], *, group: str, source: str, last: str, rounds: int = 4, settled: float = 0.005) -> DataFrame:
+def survivors(rows: DataFrame, fields: Mapping[str, str], *, group: str, source: str, last: str, rounds: int = 50, settled: float = 0.005) -> DataFrame:
     """One row per group: ``group_id`` and each of ``fields`` (column -> ``name`` or ``plain``), chosen from the values
     of its rows, exactly as one of them has it.
 
     Truth discovery: a value's support is the weight of its votes times the trust in their sources; a source's trust is
     the share of its claims that the chosen values agree with, smoothed to 0.8; both in turn until no trust moves by
-    more than ``settled``, at most ``rounds`` times. ``source`` names a row's source within all data, ``last`` is text
+    more than ``settled``; not to settle in ``rounds`` is an error. ``source`` names a row's source within all data, ``last`` is text
     that orders rows by time. Equal support goes to the later, then the greater value. A group whose field has no
     readable value gets null. Groups of one row pass through. Claims are combined by (group, field, value, source)
     before they meet, so that copies never gather in one task."""
     melted = rows.select(F.col(group).alias("group_id"), F.col(source).cast("string").alias("source"), F.col(last).cast("string").alias("last"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("c")).select("group_id", "source", "last", "c.field", "c.value")
     claims = melted.groupBy("group_id", "field", "value", "source").agg(F.count("*").alias("n"), F.max("last").alias("last"))
     plain = F.regexp_replace(F.lower("value"), r"^\s+|\s+$", "")
-    known = claims.withColumn("plain", plain).groupBy("field", "plain").agg(F.approx_count_distinct("group_id").alias("freq")).where("freq > 1")
+    known = claims.withColumn("plain", plain).groupBy("field", "plain").agg(F.count_distinct("group_id").alias("freq")).where("freq > 1")
     named = [f for f, kind in fields.items() if kind == "name"]
     told = claims.withColumn("plain", plain).join(known, ["field", "plain"], "left").select("group_id", "field", F.struct("value", "source", "n", "last", F.coalesce("freq", F.lit(1)).alias("freq")).alias("c"))
     votes = cut(told.groupBy("group_id", "field").agg(F.collect_list("c").alias("claims")).mapInPandas(_votes(named), EDGE))
@@ -140,6 +140,8 @@ def survivors(rows: DataFrame, fields: Mapping[str, str], *, group: str, source:
         trust = new
         if (moved or 0.0) <= settled:
             break
+    else:
+        raise RuntimeError(f"source trust hasn't settled in {rounds} rounds: it still moves by {moved}")
     best = _chosen(votes, trust)
     wide = best.groupBy("group_id").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
     return rows.select(F.col(group).alias("group_id")).distinct().join(wide, "group_id", "left")
