@@ -2,11 +2,11 @@ import random
 
 import pytest
 
-from tieout.llm import entities, names, queries
+from tieout.llm import entities, names, queries, variants
 from tieout.llm.components import components
 from tieout.llm.people import employee_groups
 from tieout.llm.survivor import name_votes, survivors
-from tieout.llm.variants import alike_names
+from tieout.llm.variants import alike_names, linked
 
 CENSUS = "pack_id long, rec_id long, employee_id string, employee_first_name string, employee_last_name string, gross_annual_taxable_wages double, group_health_monthly double, other_monthly_pretax double, retirement_401k_monthly double"
 
@@ -43,6 +43,20 @@ def test_survivors(spark):
     assert set(got) == {1, 2, 3} and got[1].name in ("Ann", "Anne") and got[1].pay == "12" and got[2].name is None and got[3].pay == "9"
 
 
+def test_trust_decides(spark):
+    """Two sources say different things of the disputed groups; a third shows elsewhere which of them can be trusted."""
+    rows = [(g, src, "1", v) for g in range(20) for src, v in (("good", f"v{g}"), ("bad", f"x{g}"), ("third", f"v{g}"))]
+    rows += [(g, src, "1", v) for g in range(100, 130) for src, v in (("good", f"v{g}"), ("bad", f"x{g}"))]
+    df = spark.createDataFrame(rows, "g long, src string, seq string, state string")
+    say = lambda **k: {r.group_id: r.state for r in survivors(df, {"state": "plain"}, group="g", source="src", last="seq", **k).collect()}
+    truth = {g: f"v{g}" for g in (*range(20), *range(100, 130))}
+    assert say() == truth
+    untrusting = say(rounds=0)
+    assert all(untrusting[g] == f"x{g}" for g in range(100, 130))
+    with pytest.raises(RuntimeError):
+        say(rounds=1, settled=-1.0)
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, 7)]
@@ -62,7 +76,7 @@ def test_components_against_union_find(spark):
     assert components(df.limit(0)).count() == 0
 
 
-def test_alike_names_against_all_pairs(spark):
+def test_alike_names_against_all_pairs(spark, monkeypatch):
     rng = random.Random(2)
     first, last = ["Robert", "Anna", "Gwendolyn", "Samuel"], ["Ulmerdorf", "Hargecroft", "Zolenquist", "Branlow", "Wendhagen"]
     left = [(i % 2, f"{rng.choice(first)} {rng.choice(last)}") for i in range(30)]
@@ -70,10 +84,34 @@ def test_alike_names_against_all_pairs(spark):
     for w, n in left:
         i = rng.randrange(len(n))
         right.append((w, n[:i] + n[i + 1 :]))
-    a, b = (spark.createDataFrame(x + [(0, ""), (0, None)], "w int, name string") for x in (left, right))
-    got = {(r.w, r.a, r.b) for r in alike_names(a, b, within="w", least=0.9).collect()}
-    want = {(w, x, y) for w, x in left for v, y in right if w == v and names.name_likeness(names.tokens(x), names.tokens(y)) >= 0.9}
+    nodes = spark.createDataFrame([(*x, 0) for x in left] + [(*x, 1) for x in right] + [(0, "", 1), (0, None, 0)], "w int, name string, side int")
+    every = {(w, *sorted((x, y))) for w, x in left + right for v, y in right if w == v}
+    want = {p for p in every if names.name_likeness(names.tokens(p[1]), names.tokens(p[2])) >= 0.9}
+    got = {(r.w, r.a, r.b) for r in alike_names(nodes, within="w", least=0.9).collect()}
     assert len(got & want) >= 0.97 * len(want) and got <= want
+    monkeypatch.setattr(variants, "CELL", 3)
+    assert {(r.w, r.a, r.b) for r in alike_names(nodes, within="w", least=0.9).collect()} == got
+
+
+NODES = "pack_id long, node long, side int, name string, pay double"
+
+
+def test_variants_meet_through_a_third(spark):
+    a, b, c = "Robert Ulmerdorf", "Bob Ulmerdorf", "Bqob Ulmerdorf"
+    apart = [names.compared(names.tokens(x), names.tokens(y))[1] for x, y in ((a, b), (b, c), (a, c))]
+    assert apart[0] >= variants.WORST and apart[2] < variants.WORST_WITH_PAY <= apart[1]
+    rows = [(1, 10, 0, a, 50000.0), (1, 20, 1, b, 50000.0), (1, 21, 1, c, 50000.0), (1, 11, 0, "Vera Quennell", 41000.0), (1, 22, 1, "V. Quennell", 41000.0), (1, 23, 1, "Yoram Zolen", None), (2, 24, 1, b, 50000.0)]
+    got = {r.node: r.component for r in linked(spark.createDataFrame(rows, NODES), within="pack_id").collect()}
+    assert got == {10: 10, 20: 10, 21: 10, 11: 11, 22: 11}
+
+
+def test_conflicts_are_split(spark):
+    rows = [
+        (1, 10, 0, "Anna Ulmerdorf", 50000.0), (1, 11, 0, "Anne Ulmerdorf", 52000.0), (1, 20, 1, "Ann Ulmerdorf", None), (1, 21, 1, "Anna Ulmerdorf", 50000.0), (1, 22, 1, "Anne Ulmerdorf", 52000.0), (1, 23, 1, "Anna Ulmerdorf", None),
+    ]
+    got = {r.node: r.component for r in linked(spark.createDataFrame(rows, NODES), within="pack_id").collect()}
+    assert got[10] == got[21] == got[23] == 10 and got[11] == got[22] == 11 and got[20] in (10, 11)
+    assert linked(spark.createDataFrame([], NODES), within="pack_id").count() == 0
 
 
 def test_index_recall_against_brute_force(spark, monkeypatch):

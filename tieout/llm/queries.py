@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tieout.functions.ids import same_id
-from tieout.llm.components import components
 from tieout.llm.entities import SAMPLE, Index, calibration, candidate_pairs, confidence, record_tokens
 from tieout.llm.leaks import leaks
 from tieout.llm.packing import packed
@@ -14,7 +13,7 @@ from tieout.llm.people import employee_groups
 from tieout.llm.splitting import pieces
 from tieout.llm.survivor import survivors
 from tieout.llm.tokens import sizes
-from tieout.llm.variants import accepted_pairs, alike_names, is_pseudo, typed
+from tieout.llm.variants import is_pseudo, linked, typed
 from tieout.plans.lineage import cut
 from tieout.sources.tables import table
 
@@ -52,18 +51,16 @@ def _variant_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
     """(rec_id, side, cluster_id): census and proposal rows of packs without shared ids, one cluster per employee."""
-    census, proposal = _variant_rows(spark, d)
+    census, proposal = (cut(x) for x in _variant_rows(spark, d))
     groups = cut(employee_groups(census))
-    named = census.select("rec_id", typed("employee_first_name", "employee_last_name").alias("name"), F.col("gross_annual_taxable_wages").alias("pay"))
-    people = groups.select("rec_id", "pack_id", "group_id").join(named, "rec_id")
-    pairs = alike_names(people, proposal, within="pack_id", least=0.75)
-    accepted = accepted_pairs(pairs, people, proposal, within="pack_id").select("pack_id", F.col("name").alias("_name"), F.col("pay").alias("_pay"), "group_id")
-    mine = proposal.join(accepted.withColumnRenamed("pack_id", "_pack"), (F.col("pack_id") == F.col("_pack")) & (F.col("name") == F.col("_name")) & F.col("pay").eqNullSafe(F.col("_pay")))
-    edges = mine.select(F.col("rec_id").alias("a"), F.col("group_id").alias("b")).unionByName(groups.select(F.col("rec_id").alias("a"), F.col("group_id").alias("b")))
-    found = components(edges)
-    side = F.when(F.col("s") == 1, "census").otherwise("proposal").alias("side")
-    sides = census.select("rec_id", F.lit(1).alias("s")).unionByName(proposal.select("rec_id", F.lit(2).alias("s")))
-    return sides.join(found, F.col("rec_id") == F.col("node"), "left").select("rec_id", side, F.coalesce("component", "rec_id").alias("cluster_id"))
+    typed_names = census.select("rec_id", typed("employee_first_name", "employee_last_name").alias("name"), F.col("gross_annual_taxable_wages").alias("pay"))
+    people = groups.select("rec_id", "pack_id", F.col("group_id").alias("node")).join(typed_names, "rec_id").select("pack_id", "node", F.lit(0).alias("side"), "name", "pay").distinct()
+    spelt = cut(proposal.where("name <> '' and pack_id is not null").groupBy("pack_id", "name", "pay").agg(F.min("rec_id").alias("node")))
+    found = linked(cut(people.unionByName(spelt.select("pack_id", "node", F.lit(1).alias("side"), "name", "pay"))), within="pack_id")
+    spelt = spelt.select(F.col("pack_id").alias("_pack"), F.col("name").alias("_name"), F.col("pay").alias("_pay"), "node")
+    mine = proposal.join(spelt, (F.col("pack_id") == F.col("_pack")) & (F.col("name") == F.col("_name")) & F.col("pay").eqNullSafe(F.col("_pay")), "left").select("rec_id", F.lit("proposal").alias("side"), F.coalesce("node", "rec_id").alias("node"))
+    rows = groups.select("rec_id", F.lit("census").alias("side"), F.col("group_id").alias("node")).unionByName(mine)
+    return rows.join(found, "node", "left").select("rec_id", "side", F.coalesce("component", "node").alias("cluster_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
