@@ -47,17 +47,21 @@ def alike_names(nodes: DataFrame, *, within: str, least: float = 0.8) -> DataFra
     share a phonetic blocking code, of which one at least is carried by side 1, and that are at least so alike. Names are
     compared once however many rows carry them; a block holds distinct names alone and is split where it is large. Null
     and empty names pair with nothing."""
-    distinct = nodes.where("name <> ''").groupBy(within, "name").agg(F.max("side").alias("row"))
-    coded = cut(distinct.withColumn("code", F.explode(blocking_codes("name"))))
-    many = coded.groupBy(within, "code").agg(F.ceil(F.count("*") / CELL).cast("int").alias("strips")).where("strips > 1")
-    # A name of such a code is in one strip and is repeated for every strip of the other side: two names meet in one cell.
-    own = F.pmod(F.xxhash64("name"), F.col("strips")).cast("int").alias("own")
-    coded = coded.join(many, [within, "code"], "left").withColumn("strips", F.coalesce("strips", F.lit(1)))
-    coded = coded.select(within, "code", "name", "row", own, F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other"))
-    left = coded.select(within, "code", F.col("own").alias("i"), F.col("other").alias("j"), F.col("name").alias("a"), F.col("row").alias("row_a"))
-    right = coded.select(within, "code", F.col("other").alias("i"), F.col("own").alias("j"), F.col("name").alias("b"), F.col("row").alias("row_b"))
-    pairs = left.join(right, [within, "code", "i", "j"]).where("a <= b and row_a + row_b > 0").select(within, "a", "b").distinct()
-    return pairs.withColumn("c", compared("a", "b")).select(within, "a", "b", "c.like", "c.worst").where(F.col("like") >= least)
+    spelt = nodes.where("name <> ''").groupBy(within, "name").agg(F.max("side").alias("row"))
+    spelt = cut(spelt.withColumn("id", F.monotonically_increasing_id()))
+    # Codes meet by their hash, names by a number: two codes of one hash make a pair more to compare, nothing else.
+    coded = cut(spelt.select("id", "row", F.explode(blocking_codes("name")).alias("code"), within).select("id", "row", F.xxhash64(within, "code").alias("code")))
+    many = coded.groupBy("code").agg(F.ceil(F.count("*") / CELL).cast("int").alias("strips")).where("strips > 1")
+    # A name of a large code is in one strip and is repeated for every strip of the other side: two names meet in one cell.
+    own = F.pmod(F.xxhash64("id"), F.col("strips")).cast("int").alias("own")
+    coded = coded.join(many, "code", "left").withColumn("strips", F.coalesce("strips", F.lit(1)))
+    coded = coded.select("code", "id", "row", own, F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other"))
+    left = coded.select("code", F.col("own").alias("i"), F.col("other").alias("j"), F.col("id").alias("x"), F.col("row").alias("row_x"))
+    right = coded.select("code", F.col("other").alias("i"), F.col("own").alias("j"), F.col("id").alias("y"), F.col("row").alias("row_y"))
+    pairs = left.join(right, ["code", "i", "j"]).where("x <= y and row_x + row_y > 0").select("x", "y").distinct()
+    named = pairs.join(spelt.select(within, F.col("id").alias("x"), F.col("name").alias("a_")), "x").join(spelt.select(F.col("id").alias("y"), F.col("name").alias("b_")), "y")
+    ordered = named.select(within, F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"))
+    return ordered.withColumn("c", compared("a", "b")).select(within, "a", "b", "c.like", "c.worst").where(F.col("like") >= least)
 
 
 def pay_evidence(stated: Column, known: Column) -> Column:
