@@ -1,5 +1,6 @@
 import random
 
+from tieout.llm import leaks as module
 from tieout.llm.leaks import leaks, words
 
 ITEM = (
@@ -47,6 +48,41 @@ def test_slots(spark):
     assert got[0, 1].same_slots == got[0, 1].slots and got[1, 1].same_slots < got[1, 1].slots
 
 
+    assert got[1, 1].clashing_slots == 0 < got[1, 1].changed_slots <= got[1, 1].slots - got[1, 1].same_slots
+
+
+def test_slots_must_agree(spark):
+    """One template with every name and number changed: with one new value for each it leaks, with new values at every
+    place, so that one value faces several, it doesn't, as fewer than three fifths of its words stand there."""
+    item = " ".join(f"Marvane Quist paid 4417 Oskbrook {verb} 4417 Marvane Quist {noun} Oskbrook." for verb, noun in (("against", "again"), ("before", "below"), ("after", "above"), ("within", "nearby"), ("without", "later")))
+    item += " paid against again before below after above within nearby without later"
+    new = item.replace("Marvane Quist", "Zelwin Tarb").replace("4417", "9032").replace("Oskbrook", "Fenmere")
+    rng = random.Random(1)
+    mixed = " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(6)).title() if w[0].isupper() else f"{rng.randrange(1000, 9999)}" if w[0].isdigit() else w for w in item.split())
+    got = run(spark, [item, new, mixed], items=[(1, item)])
+    assert set(got) >= {(0, 1), (1, 1)} and got[1, 1].changed_slots > 0 == got[1, 1].clashing_slots
+    assert (2, 1) not in got
+
+
+def test_short_items(spark):
+    """Items of five words and more are found as they stand."""
+    own = "quarterly premium totals rarely match printed carrier invoices before every audit closes again".split()
+    items = [(n, " ".join(own[:n])) for n in range(5, 13)]
+    docs = [f"Nobody reads {text} but they are kept." for _, text in items]
+    got = set(run(spark, docs, items=items))
+    assert {(i, n) for i, (n, _) in enumerate(items)} <= got
+    assert not set(run(spark, ["nothing of the kind stands here at all, nor anywhere else", "premium totals"], items=items))
+
+
+def test_blocks_and_passes_find_the_same(spark, monkeypatch):
+    docs = [ITEM, OTHER, ITEM + " " + OTHER]
+    want = set(run(spark, docs))
+    monkeypatch.setattr(module, "ITEMS", 1)
+    assert set(run(spark, docs)) == want
+    monkeypatch.setattr(module, "ITEM_CHARS", 0)
+    assert set(run(spark, docs)) == want == {(0, 1), (1, 2), (2, 1), (2, 2)}
+
+
 def test_nothing_to_search(spark):
     assert run(spark, [ITEM], items=[(3, None)]) == {} and run(spark, [None, ""]) == {}
 

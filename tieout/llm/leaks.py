@@ -18,11 +18,15 @@ SHARE = 0.4
 GAP = 8
 #: Share of a stretch's words that must be found.
 DENSE = 0.6
-#: Template windows that a leak has in one band of diagonals and in all such bands; share of the item under them. A leak of
-#: the least size with every fifth word changed has about ten windows over a fifth of the item, five to a stretch.
+#: Template windows that a leak of a long item has in one band of diagonals and in all such bands; share of the item under
+#: them. A leak of the least size with every fifth word changed has about ten windows over a fifth of the item, five to a
+#: stretch. Of shorter items fewer are needed: no more than a bare SHARE of their words has (``Items.needed``).
 BAND, NEEDED, NEEDED_SHARE = 4, 7, 0.15
-#: Items that one pass over the texts takes; more are taken in further passes.
+#: Items that are searched at once.
 ITEMS = 5000
+#: Characters of items that one pass over the texts takes, held ready in every task: about a gigabyte. Only beyond it are
+#: the texts read again.
+ITEM_CHARS = 50_000_000
 #: Words that one step of the work holds at once, unless one text has more.
 STRIP = 400_000
 #: Words for units and times, which a re-parameterised question may change.
@@ -90,6 +94,9 @@ class Items:
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
         self.at = np.array(at, np.int64).reshape(-1, 3)[order]
+        windows = np.bincount(self.at[:, 0], minlength=len(self.words))
+        self.needed = np.clip((SHARE * (windows + WINDOW - 1)).astype(np.int64) - WINDOW + 1, 1, NEEDED)
+        self.band = np.minimum(self.needed, BAND)
         self.vocabulary = {w for ws in self.words for w in ws}
         self.near: dict[str, set[str]] = {}
         for w in self.vocabulary:
@@ -101,6 +108,7 @@ class Items:
             own: dict[str, tuple[int, ...]] = {}
             for i, w in enumerate(ws):
                 own[w] = (*own.get(w, ()), i)
+            # Words of other items are no words of this one.
             self.places.append(own | {w: () for w in self.vocabulary - own.keys()})
         self._meant: dict[str, frozenset[str]] = {}
 
@@ -139,11 +147,15 @@ class Items:
         return found
 
 
-def stretches(items: Items, k: int, doc: list[str], anchors: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """The stretches (item from, item to, text from, text to, words found) of item ``k`` in a text, grown from anchors
-    (place in text, place in item) at which template windows meet. Anchors are taken in the text's order; from each not
-    yet covered, matching words are followed both ways, over at most GAP words on either side that don't match."""
-    own, size = items.places[k], len(doc)
+#: item from, item to, text from, text to, and the places (text, item) of the words found.
+Stretch = tuple[int, int, int, int, list[tuple[int, int]]]
+
+
+def stretches(items: Items, k: int, doc: list[str], anchors: list[tuple[int, int]]) -> list[Stretch]:
+    """The stretches of item ``k`` in a text, grown from anchors (place in text, place in item) at which template windows
+    meet. Anchors are taken in the text's order; from each not yet covered, matching words are followed both ways, over
+    at most GAP words on either side that don't match."""
+    own, mine, size = items.places[k], items.words[k], len(doc)
 
     def places(w: str) -> tuple[int, ...]:
         """Where the item has a word, or one that it may be a misspelling of."""
@@ -152,10 +164,10 @@ def stretches(items: Items, k: int, doc: list[str], anchors: list[tuple[int, int
             found = tuple(i for m in items.meant(w) for i in own.get(m, ()))
         return found
 
-    def follow(d: int, i: int, step: int) -> tuple[int, int, int]:
-        """From a matched place, the farthest matched place and the words matched on the way: the nearest match by steps
-        in text and item together; one farther than a word put in or left out must have another right after it."""
-        found = 0
+    def follow(d: int, i: int, step: int) -> list[tuple[int, int]]:
+        """The places matched on the way from a matched place: each the nearest by steps in text and item together; one
+        farther than a word put in or left out must have another right after it, or face placeholders alone till there."""
+        path: list[tuple[int, int]] = []
         while True:
             best, least = None, GAP + 2
             for a in range(1, GAP + 1):
@@ -164,12 +176,12 @@ def stretches(items: Items, k: int, doc: list[str], anchors: list[tuple[int, int
                     break
                 for ii in places(doc[dd]):
                     b = (ii - i) * step
-                    if 1 <= b and a + b < least and (a + b <= 3 or again(dd, ii, step)):
+                    if 1 <= b and a + b < least and (a + b <= 3 or again(dd, ii, step) or faced(d, i, step, a, b)):
                         best, least = (dd, ii), a + b
             if best is None:
-                return d, i, found
+                return path
             d, i = best
-            found += 1
+            path.append(best)
 
     def again(d: int, i: int, step: int) -> bool:
         for x in (1, 2):
@@ -177,23 +189,51 @@ def stretches(items: Items, k: int, doc: list[str], anchors: list[tuple[int, int
                 return True
         return False
 
-    out: list[tuple[int, int, int, int, int]] = []
+    def faced(d: int, i: int, step: int, a: int, b: int) -> bool:
+        return a == b and all(items.kind[mine[i + step * x]] == items.kind[doc[d + step * x]] < _FIRST for x in range(1, a))
+
+    out: list[Stretch] = []
     for d, i in anchors:
         if any(a <= i <= b and c <= d <= e for a, b, c, e, _ in out):
             continue
         if i not in places(doc[d]):
             continue
-        d1, i1, up = follow(d, i, 1)
-        d0, i0, down = follow(d, i, -1)
-        out.append((i0, i1, d0, d1, up + down + 1))
+        path = [*reversed(follow(d, i, -1)), (d, i), *follow(d, i, 1)]
+        out.append((path[0][1], path[-1][1], path[0][0], path[-1][0], path))
     return out
 
 
-def held(found: list[tuple[int, int, int, int, int]], counts: np.ndarray) -> int:
+def slots(items: Items, k: int, doc: list[str], found: list[Stretch]) -> tuple[set[int], set[int], set[int]]:
+    """The places of item ``k`` in its stretches whose number, unit or name stands there as it is, with another value, and
+    with clashing values. Between two words found next to each other, placeholders of the item face the text's words of
+    the same kinds; a value must face the same value wherever it stands, and no other value of the item the same one,
+    else all its places clash: then the words around are alike by chance, not a question with new parameters."""
+    ws = items.words[k]
+    is_slot = lambda w: items.kind[w] < _FIRST
+    same: set[int] = set()
+    faced: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+    back: dict[tuple[str, ...], set[tuple[str, ...]]] = {}
+    at: list[tuple[tuple[str, ...], tuple[str, ...], range]] = []
+    for *_, path in found:
+        same.update(i for _, i in path if is_slot(ws[i]))
+        for (d0, i0), (d1, i1) in zip(path, path[1:]):
+            mine, theirs = tuple(ws[i0 + 1 : i1]), tuple(doc[d0 + 1 : d1])
+            if mine and theirs and all(map(is_slot, mine)) and {items.kind[w] for w in mine} == {items.kind[w] for w in theirs}:
+                faced.setdefault(mine, set()).add(theirs)
+                back.setdefault(theirs, set()).add(mine)
+                at.append((mine, theirs, range(i0 + 1, i1)))
+    changed, clashing = set(), set()
+    for mine, theirs, places in at:
+        (changed if len(faced[mine]) == 1 and len(back[theirs]) == 1 else clashing).update(places)
+    return same, changed - same, clashing - same - changed
+
+
+def held(found: list[Stretch], counts: np.ndarray, changed: set[int] = frozenset()) -> int:
     """The most words of an item that one stretch, or two in the item's order, hold. A stretch counts from its first to
-    its last word if at least DENSE of them are found. ``counts``: words before each place of the item."""
+    its last word if at least DENSE of them are found, consistently ``changed`` ones among them. ``counts``: words before
+    each place of the item."""
     size = lambda a, b: int(counts[b + 1] - counts[a]) if b >= a else 0
-    good = [(a, b, c, d) for a, b, c, d, n in found if n >= DENSE * (b - a + 1) and n >= 4]
+    good = [(a, b, c, d) for a, b, c, d, path in found if len(path) >= 4 and len(path) + sum(a <= i <= b for i in changed) >= DENSE * (b - a + 1)]
     best = max((size(a, b) for a, b, _, _ in good), default=0)
     for x in range(len(good)):
         a0, b0, c0, d0 = good[x]
@@ -204,8 +244,8 @@ def held(found: list[tuple[int, int, int, int, int]], counts: np.ndarray) -> int
     return best
 
 
-LEAKS = "doc_id long, item_id long, held int, words int, same_slots int, slots int"
-_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("held", pa.int32()), ("words", pa.int32()), ("same_slots", pa.int32()), ("slots", pa.int32())])
+LEAKS = "doc_id long, item_id long, held int, words int, same_slots int, changed_slots int, clashing_slots int, slots int"
+_LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.int32()) for c in ("held", "words", "same_slots", "changed_slots", "clashing_slots", "slots"))])
 
 
 def _search(items: Items, docs: list[tuple[int, list[str]]], share: float) -> Iterator[tuple]:
@@ -242,13 +282,13 @@ def _search(items: Items, docs: list[tuple[int, list[str]]], share: float) -> It
     number = np.diff(run, append=len(pair))
     beside = (pair[run][1:] == pair[run][:-1]) & (band[run][1:] == band[run][:-1] + 1)
     both = np.maximum(number + np.append(number[1:] * beside, 0), number + np.insert(number[:-1] * beside, 0, 0))
-    near = np.repeat(both >= BAND, number)
+    near = np.repeat(both >= items.band[pair[run] % len(items.words)], number)
     order, pair = order[near], pair[near]
     if not len(order):
         return
     run = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     number = np.diff(run, append=len(pair))
-    order = order[np.repeat(number >= NEEDED, number)]
+    order = order[np.repeat(number >= items.needed[pair[run] % len(items.words)], number)]
     order = order[np.lexsort((d[order], k[order], o[order]))]
     o, k, d, i0 = o[order], k[order], d[order], i0[order]
     if not len(o):
@@ -262,34 +302,41 @@ def _search(items: Items, docs: list[tuple[int, list[str]]], share: float) -> It
             continue
         doc_id, ws = docs[int(o[a])]
         found = stretches(items, item, ws, list(zip(d[a:b].tolist(), i0[a:b].tolist())))
-        most = held(found, items.counts[item])
-        if most < share * length:
+        same, changed, clashing = slots(items, item, ws, found)
+        most = held(found, items.counts[item], changed)
+        if most < share * length or len(clashing) > len(same) + len(changed):
             continue
-        have = set(ws)
-        slots = {w for w in items.words[item] if w[0] <= "9" or w not in items.kind}
-        yield doc_id, items.ids[item], most, length, len(slots & have), len(slots)
+        yield doc_id, items.ids[item], most, length, len(same), len(changed), len(clashing), sum(items.kind[w] < _FIRST for w in items.words[item])
 
 
 def leaks(docs: DataFrame, evaluation: DataFrame, share: float = SHARE) -> DataFrame:
-    """LEAKS (doc_id, item_id, held, words, same_slots, slots) of (doc_id, text) and (item_id, text): the items that
-    leaked into each document, one row for each pair.
+    """LEAKS (doc_id, item_id, held, words, same_slots, changed_slots, clashing_slots, slots) of (doc_id, text) and
+    (item_id, text): the items that leaked into each document, one row for each pair.
 
     Both are reduced to templates: numbers, units and names become typed placeholders. Windows of WINDOW template words
     are hashed and joined; where one item's windows meet a text often enough, its own words are followed through the
-    text from those places, so that slots must agree or be few. A pair is a leak if at least ``share`` of the item's
-    words stand there in its order in at most two stretches, with words put in, left out or misspelt. ``same_slots``
-    tells how many of its numbers and names the text has: all for a copy, few for a question with new parameters.
-
-    Items are the stated query set: they are taken in blocks of ITEMS, each sent to every task; the documents are never
-    shuffled. Repeated documents and items count each; null and empty texts, and items under
-    NEEDED + WINDOW - 1 = 11 template words, have no leaks; a bare two fifths of an item is found from about 28 words on. A document may hold many items, an item stand in many documents."""
+    text from those places. A pair is a leak if at least ``share`` of the item's words stand there in its order in at
+    most two stretches, with words put in, left out or misspelt, or numbers, units and names changed consistently
+    (``slots``): a question with new parameters leaks, a text of like wording in which one value faces several doesn't
+    by that, and a pair of which more placeholders clash than agree is no leak. The last columns count the item's placeholders as they stand, consistently changed, clashing, and all.
+
+    Items are the stated query set: they are sent to every task and searched in blocks of ITEMS, whose texts are cut into
+    words once, in one pass over the documents for every ITEM_CHARS of items; the documents are never shuffled. Repeated
+    documents and items count each; null and empty texts have no leaks, nor items of under WINDOW = 5 template words two
+    of which are no placeholders. A document may hold many items, an item stand in many documents."""
     listed = [(r.item_id, r.text) for r in evaluation.select("item_id", "text").where("item_id is not null").orderBy("item_id", "text").toLocalIterator()]
     out = None
-    for k in range(0, max(len(listed), 1), ITEMS):
-        block = listed[k : k + ITEMS]
-
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            items = Items(block)
+    passes, chars = [[]], 0
+    for item in listed:
+        if chars > ITEM_CHARS:
+            passes.append([])
+            chars = 0
+        passes[-1].append(item)
+        chars += len(item[1] or "")
+    for taken in passes:
+
+        def run(batches: Iterator[pa.RecordBatch], taken=taken) -> Iterator[pa.RecordBatch]:
+            blocks = [Items(taken[k : k + ITEMS]) for k in range(0, len(taken), ITEMS)]
             for batch in batches:
                 held_, size, rows = [], 0, []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -297,9 +344,9 @@ def leaks(docs: DataFrame, evaluation: DataFrame, share: float = SHARE) -> DataF
                     held_.append((doc_id, ws))
                     size += len(ws)
                     if size > STRIP:
-                        rows += _search(items, held_, share)
+                        rows += (row for items in blocks for row in _search(items, held_, share))
                         held_, size = [], 0
-                rows += _search(items, held_, share)
+                rows += (row for items in blocks for row in _search(items, held_, share))
                 cols = list(zip(*rows)) if rows else [[] for _ in _LEAKS]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _LEAKS)], schema=_LEAKS)
 

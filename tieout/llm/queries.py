@@ -135,7 +135,8 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, item_id, held, words, same_slots, slots): evaluation items that leaked, and how much of each."""
+    """(doc_id, item_id, held, words, same_slots, changed_slots, clashing_slots, slots): evaluation items that leaked, how
+    much of each, and what became of its numbers, units and names."""
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
