@@ -1,5 +1,5 @@
 from tieout.functions.headers import NUMBERS, SYNONYMS
-from tieout.operators.drift import cell_tags, file_schemas, schema_changes, synonym_column, unified
+from tieout.operators.drift import cell_tags, file_schemas, inferred_column, new_alternatives, schema_changes, synonym_column, unified
 
 
 def frames(spark):
@@ -42,3 +42,18 @@ def test_empty(spark):
     files, cells = frames(spark)
     got = schema_changes(file_schemas(cells.limit(0), "file_id", synonym_column(SYNONYMS)), files.limit(0), file="file_id", series="series_id", order=["file_ord"])
     assert got.count() == 0
+
+
+def test_alternatives_and_unlisted_headers(spark):
+    files = spark.createDataFrame([(1, 7, "census", 1), (2, 7, "census", 2), (3, 7, "census", 3)], "file_id int, series_id int, slot string, file_ord int")
+    rows = spark.createDataFrame(
+        [(1, 1, '{"Annual Salary": 10.5, "FirstName": "A", "Dependents": 1}'), (2, 1, '{"AnualSalary": true, "Annual Salery": [1], "Dependents": null}'), (2, 2, '{"Annual Salary": {"a": 1}, "Statement": 2}'), (3, 1, '{"Annual Salary": 3, "Dependents": "two"}')],
+        "file_id int, row_ord int, cells string",
+    )
+    cells = cell_tags(rows.join(files.select("file_id", "slot"), "file_id"))
+    assert {r.tag for r in cells.collect()} == {"number", "text", "boolean", "list", "object", None}
+    schemas = file_schemas(cells, "file_id", inferred_column(SYNONYMS))
+    assert {(r.file_id, r.field): r.headers for r in schemas.collect()}[2, "gross_annual_taxable_wages"] == ["annual salary", "annual salery"]
+    got = new_alternatives(schemas, files, file="file_id", series="series_id", order=["file_ord"])
+    assert sorted((r.file_id, r.field, r.alternative, r.before) for r in got.collect()) == [(2, "gross_annual_taxable_wages", "list", "number"), (2, "gross_annual_taxable_wages", "object", "number"), (3, "gross_annual_taxable_wages", "number", "list|object")]
+    assert ("employee_first_name" in {r.field for r in schemas.where("file_id = 1").collect()}) and "state" not in {r.field for r in schemas.collect()}

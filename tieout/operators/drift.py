@@ -13,8 +13,8 @@ def plain_header(c: Column) -> Column:
 
 
 def cell_tags(rows: DataFrame, cells: str = "cells") -> DataFrame:
-    """``rows`` without ``cells``, one row per cell: ``header``, ``tag`` (``text``, ``number`` or null for a JSON null),
-    ``value`` as text. Rows whose JSON is null, broken or no object have no cells."""
+    """``rows`` without ``cells``, one row per cell: ``header``, ``tag`` (``text``, ``number``, ``boolean``, ``list``,
+    ``object``, or null for a JSON null), ``value`` as text. Rows whose JSON is null, broken or no object have no cells."""
     flat = rows.withColumn("_cells", F.try_parse_json(F.col(cells))).where(F.schema_of_variant("_cells").startswith("OBJECT"))
     view = flat.drop(cells)
     out = view.lateralJoin(view.sparkSession.tvf.variant_explode(F.col("_cells").outer()).toDF("_pos", "_key", "_value"))
@@ -22,14 +22,14 @@ def cell_tags(rows: DataFrame, cells: str = "cells") -> DataFrame:
     return out.select(
         *(f"`{c}`" for c in view.columns if c != "_cells"),
         F.col("_key").alias("header"),
-        F.when(kind == "STRING", "text").when(kind != "VOID", "number").alias("tag"),
-        F.try_variant_get("_value", "$", "string").alias("value"),
+        F.when(kind == "STRING", "text").when(kind == "BOOLEAN", "boolean").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").when(kind != "VOID", "number").alias("tag"),
+        F.coalesce(F.try_variant_get("_value", "$", "string"), F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json("_value"))).alias("value"),
     )
 
 
 def file_schemas(cells: DataFrame, file: str, synonyms: Column) -> DataFrame:
-    """The tagged union of each file's rows: per file and wanted field the headers that carry it and the types that its
-    cells have, ``type`` being ``text`` if any cell is text, else ``number``. ``synonyms``: a field name for a
+    """The tagged union of each file's rows: per file and wanted field the headers that carry it and the alternatives
+    (``branches``) that its cells have, ``type`` being ``text`` if any cell is text, else ``number``. ``synonyms``: a field name for a
     (``slot``, plain header), null for a header of no wanted field.
 
     One aggregation on (file, header), combined before the shuffle; its result is one row per file and header."""
@@ -73,6 +73,26 @@ def schema_changes(schemas: DataFrame, files: DataFrame, *, file: str, series: s
     return both.select(F.col("_file").alias(file), "field", F.explode(kinds).alias("change"), F.when(F.col("_old").isNotNull(), told("_old")).alias("was"), F.when(F.col("_new").isNotNull(), told("_new")).alias("now"))
 
 
+def new_alternatives(schemas: DataFrame, files: DataFrame, *, file: str, series: str, order: Sequence[str]) -> DataFrame:
+    """(file, field, alternative, before): each type of cell that a field has in a file and did not have in the file
+    before it in its series, where it was there with other types, ``before``. A field of nothing but nulls has no types."""
+    seq = files.where(F.col(series).isNotNull()).select(F.col(series).alias("_series"), F.col(file).alias("_file"), F.row_number().over(W.partitionBy(series).orderBy(*order, file)).alias("_seq"))
+    at = schemas.where(F.size("branches") > 0).join(seq, schemas[file] == seq["_file"]).select("_series", "_seq", "_file", "field", "branches")
+    old = at.select("_series", (F.col("_seq") + 1).alias("_seq"), "field", F.col("branches").alias("_old"))
+    both = at.join(old, ["_series", "_seq", "field"])
+    return both.select(F.col("_file").alias(file), "field", F.explode(F.array_except("branches", "_old")).alias("alternative"), F.array_join("_old", "|").alias("before"))
+
+
+def inferred_column(synonyms: Mapping[str, Mapping[str, str]], slot: str = "slot", plain: str = "plain", least: int = 8) -> Column:
+    """``synonym_column``, and for a header not listed the field of the listed header that it equals but for blanks, else
+    of the first by name, of ``least`` letters or more, that one letter makes of it. Null for what is like none."""
+    joined = {s: {h.replace(" ", ""): f for h, f in sorted(own.items(), reverse=True)} for s, own in synonyms.items()}
+    listed = F.array(*(F.struct(F.lit(s).alias("slot"), F.lit(h).alias("header"), F.lit(f).alias("field")) for s, own in synonyms.items() for h, f in sorted(own.items()) if len(h) >= least))
+    near = F.filter(listed, lambda x: (x["slot"] == F.col(slot)) & (F.levenshtein(x["header"], F.col(plain)) == 1))
+    squeezed = F.try_element_at(F.create_map(*(x for s, own in joined.items() for h, f in own.items() for x in (F.lit(f"{s}\t{h}"), F.lit(f)))), F.concat_ws("\t", slot, F.replace(F.col(plain), F.lit(" "), F.lit(""))))
+    return F.coalesce(synonym_column(synonyms, slot, plain), squeezed, F.get(near, 0)["field"])
+
+
 def synonym_column(synonyms: Mapping[str, Mapping[str, str]], slot: str = "slot", plain: str = "plain") -> Column:
     """(slot, plain header) -> field as one literal map, at most a few hundred entries, looked up in generated code."""
     pairs = [x for s, own in synonyms.items() for h, f in own.items() for x in (F.lit(f"{s}\t{h}"), F.lit(f))]

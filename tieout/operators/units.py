@@ -100,12 +100,12 @@ PERIODS: Mapping[str, str] = {
     "quarter": r"quarter|qtr",
     "month": r"month|mth|/\s*mo\b|\bp\.?\s?m\b|\bmo\b",
     "week": r"week|wkly|\bwk\b|every (mon|tues|wednes|thurs|fri)day",
-    "year": r"annual|annum|(?<!last |this |next )year|\bp\.?\s?a\b|/\s*yr|\byr\b",
+    "year": r"annual|annum|yearly|(?:\ba|per|each|every|one|/)\s*year|^\W*year\b|\bp\.?\s?a\b|/\s*yr|\byr\b",
 }
 #: The number of pay periods that a frequency stands for.
 PAYS = {"half_month": 24, "fortnight": 26, "month": 12, "week": 52, "quarter": 4, "year": 1}
 #: Digits in groups. After a blank three digits alone belong to the number: "3,744 2x month" states 3744.
-_NUMBER = r"\d+(?:[.,']\d+|[ \x{00A0}]\d{3}(?!\d))*"
+_NUMBER = r"\d+(?:[.,']\d+|[ \x{00A0}]\d{3}\b)*"
 
 
 def amount(text: Column) -> Column:

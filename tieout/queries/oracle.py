@@ -22,6 +22,16 @@ a as (
 o as (select src_table, period, row_id, case when n = 0 then 'missing' when begun = 0 then 'late' else 'deleted' end as reason from a where valid = 0)
 """
 
+_LAST = lambda c: f"nullif(lower(regexp_replace({c}, '[^A-Za-z]', '', 'g')), '')"
+_P1M = f"""
+with c as (select pack_id, {_ID.format(c="employee_id")} as id, {_LAST("employee_last_name")} as last, loaded_at, withdrawn_at from census where loaded_at is not null),
+r as (select rec_id as row_id, period, pack_id, {_ID.format(c="client_employee_id")} as id, {_LAST("last_name")} as last, loaded_at as t from proposal where pack_id in (select pack_id from pack where id_scheme = 'shared')),
+j as (
+  select row_id, period, r.id, r.last, count(c.loaded_at) as n, count(*) filter (c.loaded_at <= t) as begun, count(*) filter (c.loaded_at <= t and (withdrawn_at is null or withdrawn_at > t)) as valid
+  from r left join c on c.pack_id = r.pack_id and (r.id is null or c.id = r.id) and (r.last is null or c.last = r.last) group by all)
+select row_id, period, concat_ws('+', 'pack', case when id is not null then 'id' end, case when last is not null then 'name' end) as known, case when n = 0 then 'missing' when begun = 0 then 'late' else 'deleted' end as reason from j where valid = 0
+"""
+
 _HEADERS = ", ".join(f"('{slot}', '{h}', '{f}')" for slot, own in SYNONYMS.items() for h, f in own.items())
 _P4 = f"""
 with syn(slot, plain, field) as (values {_HEADERS}),
@@ -53,7 +63,7 @@ u as (select file_id, row_ord, slot, field, type, json_extract_string(cells, '$.
   from upload_row r join (select distinct file_id, slot, header, field from t join syn using (slot, plain)) k using (file_id)) where type is not null and type <> 'NULL')
 select file_id, row_ord, slot, {_UNIFIED} from u group by all
 """
-_NUM = r"\d+(?:[.,'' \x{00A0}]\d+)*"
+_NUM = r"\d+(?:[.,'']\d+|[ \x{00A0}]\d{3}\b)*"
 _PERIOD = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{k}'" for k, p in units.PERIODS.items()) + " end"
 _FREQ = lambda c: rf"case regexp_extract({c}, '^(?:paid )?(12|24|26|52|4|1)(?:\s+(?:pays?|cheques?|checks?|times?|periods?|pay periods)(?:\s+(?:a|per)\s+year)?)?$', 1) " + " ".join(f"when '{n}' then '{k}'" for k, n in units.PAYS.items()) + f" else nullif({_PERIOD(c)}, 'pay') end"
 #: Periods per year and cents per unit of money, written out: what the graph composes.
@@ -78,9 +88,18 @@ select reading_id, field, ((2::hugeint * n * cents * pays + 100000000::hugeint *
 union all select reading_id, field, pays::bigint from y join yearly on pay = yearly.per where field = 'pay_frequency'
 """
 
+_P4A = _P4.split("s as (")[0].rstrip().rstrip(",") + """,
+s as (select series_id, seq, field, list_sort(list(distinct case when type = 'VARCHAR' then 'text' when type = 'BOOLEAN' then 'boolean' when type = 'ARRAY' then 'list' when type = 'OBJECT' then 'object' else 'number' end)) as tags
+  from t join syn using (slot, plain) where type <> 'NULL' group by all),
+n as (select b.series_id, b.seq, b.field, unnest(list_filter(b.tags, lambda x: not list_contains(a.tags, x))) as alternative, array_to_string(a.tags, '|') as before from s a join s b on a.series_id = b.series_id and a.seq + 1 = b.seq and a.field = b.field)
+select f.file_id, n.field, n.alternative, n.before from n join f on n.series_id = f.series_id and n.seq = f.seq
+"""
+
 SQL: dict[str, str] = reconcile.SQL | texts.SQL | reports.SQL | {
     "p4_found": _P4,
     "p4_unified": _P4U,
+    "p4_alternatives": _P4A,
+    "p1_partial": _P1M,
     "p5_found": _P5,
     "p1_found": _P1 + "select * from o",
     "p1_report": _P1 + "select src_table, period, reason, count(*) as n_refs from o group by all",
