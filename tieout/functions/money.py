@@ -137,3 +137,42 @@ def lost_comma(value: Column) -> Column:
 def money(value: Column) -> Column:
     """Dollars with sign first and cents; null prints as a dash."""
     return F.when(value.isNull(), "-").otherwise(F.concat(F.when(value < 0, "-$").otherwise("$"), F.format_number(F.abs(value), 2)))
+
+
+def plain_money(value: Column) -> Column:
+    """Figures with separators and cents, no sign of money; empty for null."""
+    return F.coalesce(F.format_number(value, 2), F.lit(""))
+
+
+def signed_money(value: Column) -> Column:
+    """Dollars with plus or minus before them, as changes are printed; a dash for null."""
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.when(value < 0, "-").otherwise("+"), F.lit("$"), F.format_number(F.abs(value), 2)))
+
+
+def bracketed_money(value: Column) -> Column:
+    """Dollars with brackets around what is negative, as ledgers print it; a dash for null."""
+    figures = F.concat(F.lit("$"), F.format_number(F.abs(value), 2))
+    return F.when(value.isNull(), "-").when(value < 0, F.concat(F.lit("("), figures, F.lit(")"))).otherwise(figures)
+
+
+def repeats_another(value: Column, others: Sequence[Column]) -> Column:
+    """``value`` unless it repeats another figure of its record to the cent, as a misread column does; zeros may repeat."""
+    return F.when((F.abs(value) <= CENT) | ~F.coalesce(shares_value(value, others), F.lit(False)), value)
+
+
+def taxable_wages(printed: Column, medicare_gross: Column, retirement: Column) -> Column:
+    """Taxable wages as printed, else Medicare wages less retirement."""
+    return F.coalesce(printed, r2(medicare_gross - F.coalesce(retirement, F.lit(0.0))))
+
+
+def overridden(by_place: Column, by_text: Column) -> Column:
+    """A figure read by its place on the page before one read from text, with a note where both are there and differ."""
+    differ = F.coalesce(F.abs(by_place - by_text) > CENT, F.lit(False))
+    return F.struct(F.coalesce(by_place, by_text).alias("value"), F.when(differ, F.concat(plain_money(by_text), F.lit(" -> "), plain_money(by_place))).alias("note"))
+
+
+def repaired(columns: dict[str, Column], gross: str, anchor: Column) -> dict[str, Column]:
+    """Gross anchored, then every bounded figure taken out that can't be right for it: the order matters, as bounds of an
+    unanchored gross would take out what is right. ``columns``: names -> printed figures, ``gross`` among them."""
+    base = anchored_gross(columns[gross], anchor)
+    return {gross: base} | {k: plausible(columns[k], base, low, high) for k, (low, high) in PLAUSIBLE.items() if k in columns}

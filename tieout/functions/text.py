@@ -123,3 +123,60 @@ def person(text: Column) -> Column:
 def json_of(text: Column, schema: str) -> Column:
     """The outermost JSON object in a text, read by a schema; null if there is none or it is broken."""
     return F.from_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")), schema)
+
+
+def nearest_amount(line: Column, label: str) -> Column:
+    """The first amount behind a label in a line, else the last one before it; null without label or amount."""
+    amount = r"(-?\d[\d,]*\.\d{2})"
+    behind = F.regexp_extract(line, rf"(?i)^.*?(?:{label})(.*)$", 1)
+    before = F.regexp_extract(line, rf"(?i)^(.*?)(?:{label})", 1)
+    first, last = F.regexp_extract(behind, amount, 1), F.regexp_extract(before, rf"^.*?{amount}[^0-9]*$", 1)
+    found = F.when(line.rlike(rf"(?i){label}"), F.coalesce(F.nullif(first, F.lit("")), F.nullif(last, F.lit(""))))
+    return F.replace(found, F.lit(","), F.lit("")).try_cast("double")
+
+
+def compact_amount(text: Column, label: str) -> Column:
+    """The first amount of the first line that has a label once all but letters and digits are taken away, as scans print
+    labels with their blanks lost; null if no such line has an amount."""
+    rows = F.filter(F.split(text, "\n"), lambda x: F.contains(F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), F.lit(label)) & x.rlike(r"\d[\d,]*\.\d{2}"))
+    return F.replace(F.regexp_extract(F.get(rows, 0), r"(-?\d[\d,]*\.\d{2})", 1), F.lit(","), F.lit("")).try_cast("double")
+
+
+def layout_of(title: Column) -> Column:
+    """The layout of a scanned register by its title: before processing, or final."""
+    return F.when(title.rlike(r"(?i)pre\s*-?\s*process"), "preprocess").otherwise("final")
+
+
+def slot_of(file_name: Column) -> Column:
+    """Which slot a file of a folder goes into, by its name; null where the name says nothing."""
+    n = F.lower(file_name)
+    return F.when(n.contains("census"), "census").when(n.contains("proposal") | n.contains("report"), "proposal").when(n.contains("before") | n.contains("previous"), "before").when(n.contains("after") | n.contains("mock"), "after")
+
+
+def readable(text: Column, words: int = 40, share: float = 0.8) -> Column:
+    """Whether a text layer can be used: enough words, of which enough of all characters but blanks are letters and digits."""
+    packed = F.regexp_replace(text, r"\s", "")
+    count = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    good = F.length(F.regexp_replace(packed, "[^A-Za-z0-9]", ""))
+    return F.coalesce((count >= words) & (F.length(packed) > 0) & (good >= share * F.length(packed)), F.lit(False))
+
+
+def reads_ok(text: Column, words: int = 15, amounts: int = 3) -> Column:
+    """Whether a page reads like a statement: words of three letters and amounts enough."""
+    long = F.size(F.regexp_extract_all(text, F.lit(r"([A-Za-z]{3,})"), 1))
+    return F.coalesce((long >= words) & (F.size(F.regexp_extract_all(text, F.lit(r"(\d[\d,]*\.\d{2})"), 1)) >= amounts), F.lit(False))
+
+
+def at_path(json: Column, path: str) -> Column:
+    """The value at a dotted path of JSON text, as text; null where the path leads nowhere or the JSON is broken."""
+    return F.get_json_object(json, "$." + path)
+
+
+def wide_words(box: Column, x0: Column, x1: Column) -> Column:
+    """The words of a box that a reader took for one, as an array of (word, x0, x1): each gets its share of the box's
+    width by where its letters stand in the text."""
+    step = (x1 - x0) / F.greatest(F.length(box), F.lit(1))
+    parts = F.split(box, " ")
+    begins = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, w: a + F.length(w) + 1))
+    cut = F.zip_with(parts, begins, lambda w, b: F.struct(w.alias("word"), (x0 + b * step).alias("x0"), (x0 + (b + F.length(w)) * step).alias("x1")))
+    return F.filter(cut, lambda w: w["word"] != "")

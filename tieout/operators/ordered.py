@@ -46,3 +46,17 @@ def effective(machine: DataFrame, corrections: DataFrame, key: Sequence[str], va
 def top_rows(rows: DataFrame, within: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group. Spark keeps only that many per group before the shuffle."""
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*within).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
+
+
+def runs(rows: DataFrame, kind: Column, by: Sequence[str], order: Sequence[str], name: str = "run") -> DataFrame:
+    """``rows`` with ``name``: the number of the run of equal ``kind`` that a row is in, in its order; nulls are equal."""
+    w = W.partitionBy(*by).orderBy(*order)
+    begins = ~kind.eqNullSafe(F.lag(kind).over(w)) | (F.row_number().over(w) == 1)
+    return rows.withColumn("_b", begins.cast("int")).withColumn(name, F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+
+
+def blocks(rows: DataFrame, ends: Column, by: Sequence[str], order: str, name: str = "block") -> DataFrame:
+    """``rows`` with ``name``: the number of the block that a row is in, blocks ending with the rows for which ``ends``
+    holds (as a subtotal ends its lines); rows behind the last end are in a block of their own."""
+    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(name, F.coalesce(F.sum(F.coalesce(ends, F.lit(False)).cast("int")).over(w), F.lit(0)))

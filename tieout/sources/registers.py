@@ -35,10 +35,11 @@ def register(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return owned.select(key, "_at.emp_ord", "_at.name", "_at.id", "_at.period", "line_no", F.col("_code").alias("code"), amount(2).alias("amount"), amount(3).alias("to_date"))
 
 
-def tail_numbers(line: str, n: int = 9):
-    """The last ``n`` numbers of a line, as registers in columns print them."""
-    found = F.transform(F.regexp_extract_all(line, F.lit(r"(-?[\d,]+\.\d{2}-?)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
-    return F.when(F.size(found) > n, F.slice(found, -n, n)).otherwise(found)
+def tail_numbers(line, n: int = 9):
+    """The last ``n`` numbers of a line, as registers in columns print them; null if it has fewer. A minus counts before a
+    number alone, not behind it."""
+    found = F.transform(F.regexp_extract_all(line, F.lit(r"(-?[\d,]*\.\d\d)"), 1), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double"))
+    return F.when(F.size(found) >= n, F.slice(found, -n, n))
 
 
 def looks_like(text: str):
