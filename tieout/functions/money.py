@@ -129,9 +129,9 @@ def misreadings(value: Column, limit: int = 40) -> Column:
 
 
 def lost_comma(value: Column) -> Column:
-    """The texts under which a scan prints an amount: with its comma, without, with a point or blank for it."""
+    """The texts under which a scan prints an amount: with its comma, without, with a point or blank for it; null for null."""
     plain, full = F.format_string("%.2f", value), F.format_number(value, 2)
-    return F.array_distinct(F.array(full, plain, F.replace(full, F.lit(","), F.lit(".")), F.replace(full, F.lit(","), F.lit(" "))))
+    return F.when(value.isNotNull(), F.array_distinct(F.array(full, plain, F.replace(full, F.lit(","), F.lit(".")), F.replace(full, F.lit(","), F.lit(" ")))))
 
 
 def money(value: Column) -> Column:
