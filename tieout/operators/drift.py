@@ -33,12 +33,9 @@ def file_schemas(cells: DataFrame, file: str, synonyms: Column) -> DataFrame:
     (``slot``, plain header), null for a header of no wanted field.
 
     One aggregation on (file, header), combined before the shuffle; its result is one row per file and header."""
+    by = cells.groupBy(file, "slot", "header").agg(F.collect_set("tag").alias("tags"))
     return (
-        cells.groupBy(file, "slot", "header")
-        .agg(F.collect_set("tag").alias("tags"))
-        .withColumn("plain", plain_header(F.col("header")))
-        .withColumn("field", synonyms)
-        .where("field is not null")
+        by.join(header_fields(by, synonyms), ["slot", "header"])
         .groupBy(file, "field")
         .agg(
             F.array_sort(F.collect_set("plain")).alias("headers"),
@@ -48,6 +45,12 @@ def file_schemas(cells: DataFrame, file: str, synonyms: Column) -> DataFrame:
     )
 
 
+def header_fields(cells: DataFrame, synonyms: Column) -> DataFrame:
+    """(slot, header, plain, field): every different header of a wanted field, looked up once."""
+    heads = cells.groupBy("slot", "header").agg(F.lit(1).alias("_one")).drop("_one").withColumn("plain", plain_header(F.col("header")))
+    return heads.withColumn("field", synonyms).where("field is not null")
+
+
 def schema_changes(schemas: DataFrame, files: DataFrame, *, file: str, series: str, order: Sequence[str]) -> DataFrame:
     """One row per change of a field against the file before it in its series: (file, field, change, was, now).
 
@@ -88,7 +91,7 @@ def inferred_column(synonyms: Mapping[str, Mapping[str, str]], slot: str = "slot
     of the first by name, of ``least`` letters or more, that one letter makes of it. Null for what is like none."""
     joined = {s: {h.replace(" ", ""): f for h, f in sorted(own.items(), reverse=True)} for s, own in synonyms.items()}
     listed = F.array(*(F.struct(F.lit(s).alias("slot"), F.lit(h).alias("header"), F.lit(f).alias("field")) for s, own in synonyms.items() for h, f in sorted(own.items()) if len(h) >= least))
-    near = F.filter(listed, lambda x: (x["slot"] == F.col(slot)) & (F.levenshtein(x["header"], F.col(plain)) == 1))
+    near = F.filter(listed, lambda x: (x["slot"] == F.col(slot)) & (F.abs(F.length(x["header"]) - F.length(plain)) < 2) & (F.levenshtein(x["header"], F.col(plain)) == 1))
     squeezed = F.try_element_at(F.create_map(*(x for s, own in joined.items() for h, f in own.items() for x in (F.lit(f"{s}\t{h}"), F.lit(f)))), F.concat_ws("\t", slot, F.replace(F.col(plain), F.lit(" "), F.lit(""))))
     return F.coalesce(synonym_column(synonyms, slot, plain), squeezed, F.get(near, 0)["field"])
 
@@ -103,7 +106,7 @@ def unified(cells: DataFrame, keys: Sequence[str], fields: Sequence[str], synony
     """One row per ``keys`` with, for each field, its canonical value and for ``numbers`` also the typed branches
     ``<field>__text`` and ``<field>__number`` that the cell came in. Fields absent from a row are null. Where one row
     has several headers of a field, the first header by name with a value is taken."""
-    tagged = cells.withColumn("plain", plain_header(F.col("header"))).withColumn("field", synonyms).where("field is not null and tag is not null")
+    tagged = cells.where("tag is not null").join(header_fields(cells, synonyms), ["slot", "header"])
     pick = lambda f, c: F.min_by(c, F.when(F.col("field") == f, F.col("header")))
     money = F.regexp_replace(F.col("value"), r"[$,\s]", "").try_cast("double")
     out = []
