@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary folder is set."""
+    """The session's ``spark.checkpoint.dir``; only where that is unset on one machine (tests) a temporary folder is
+    set; on a cluster that is an error."""
     sc = spark.sparkContext
     wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if wanted:
@@ -14,6 +15,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(wanted)
         return wanted
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 

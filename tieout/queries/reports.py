@@ -69,7 +69,9 @@ def duplicates_removed(spark: SparkSession, d: str) -> DataFrame:
 def union_of_families(spark: SparkSession, d: str) -> DataFrame:
     """Statements of all reader families in one table by family: counts and sums of gross; missing columns are null."""
     p = table(spark, d, "paycheck")
-    parts = [p.where(F.col("source").startswith(k)).select("rec_id", "gross", F.lit(k).alias("family")) for k in ("page", "sheet", "register")] + [p.where(F.col("source").startswith("scanned")).select("rec_id", F.lit("scanned").alias("family"))]
+    known = ("page", "sheet", "register", "scanned")
+    rest = ~F.coalesce(F.col("source"), F.lit("")).rlike("^(" + "|".join(known) + ")")
+    parts = [p.where(F.col("source").startswith(k)).select("rec_id", "gross", F.lit(k).alias("family")) for k in known[:3]] + [p.where(F.col("source").startswith("scanned")).select("rec_id", F.lit("scanned").alias("family")), p.where(rest).select("rec_id", "gross", F.lit("other").alias("family"))]
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x, allowMissingColumns=True)
@@ -89,6 +91,6 @@ SQL = {
     "verdict_shares": reconcile._MEASURES + ", g as (select pack_id, verdict, count(*) as n from e group by all) select pack_id, verdict, n, round(n / greatest(sum(n) over (partition by pack_id), 1), 6) as share from g",
     "completeness_gate": "with b as (select rec_id, pack_id, gross::decimal(18,2) as g from paycheck where run = 'before'), a as (select distinct pack_id, gross::decimal(18,2) as g from paycheck where run = 'after' and gross is not null), x as (select b.rec_id, b.pack_id, b.g, min(abs(b.g - a.g)) as d from b left join a on a.pack_id = b.pack_id and abs(a.g - b.g) <= 1 group by all) select pack_id, case when g is null then 'unknown' when d = 0 then 'exact' when d <= 1 then 'near' else 'missing' end as state, count(*) as n from x group by all",
     "store_stats": "with o as (select coalesce(kind, '') as kind, md5(coalesce(text, '')) as h, count(*) as n from documents group by all) select kind, sum(n)::bigint as n_docs, count(*) as n_distinct, sum(n - 1)::bigint as n_repeats from o group by all",
-    "union_families": "with u as (select case when starts_with(source, 'scanned') then 'scanned' else regexp_extract(source, '^(page|sheet|register)') end as family, case when not starts_with(source, 'scanned') then gross end as gross from paycheck) select family, count(*) as n, sum(gross::decimal(18,2))::double as gross from u where family <> '' group by all",
+    "union_families": "with u as (select case when starts_with(source, 'scanned') then 'scanned' else coalesce(nullif(regexp_extract(source, '^(page|sheet|register)'), ''), 'other') end as family, case when not coalesce(starts_with(source, 'scanned'), false) then gross end as gross from paycheck) select family, count(*) as n, sum(gross::decimal(18,2))::double as gross from u where family <> '' group by all",
 }
 SQL["duplicates_removed"] = "select pack_id, min(rec_id) as rec_id, count(*) as copies from paycheck group by " + ", ".join("pack_id client_code period run source gated name employee_id gross federal state state_code social_security medicare local local_code taxable_wages medicare_gross supplemental net_pay premium reimbursement fee product retirement cafeteria other_deductions other_total total_deductions retirement_insurance federal_unreliable w4_status w4_multijob w4_children w4_extra retirement_line".split())

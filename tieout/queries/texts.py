@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tieout.functions import money as m
 from tieout.functions import text as t
-from tieout.functions.headers import CENSUS
+from tieout.functions.headers import CENSUS, PROPOSAL
 from tieout.functions.ids import same_id
 from tieout.operators import controls, estimate, geometry, matching, ordered, roster
 from tieout.operators.drift import cell_tags
@@ -72,8 +72,13 @@ def page_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near_pages(spark: SparkSession, d: str) -> DataFrame:
-    """For each document the nearest of its kind by bits of its length."""
-    return matching.near_hashes(_docs(spark, d).where("kind is not null"), ["kind"], "n_chars", "doc_id", most=2, bits=18)
+    """For each document the nearest of its kind by a hash of its words: at most two of 32 bits apart. Of every different
+    word each bit of its digest has a vote; documents without words have no hash."""
+    words = _docs(spark, d).where("kind is not null").select("doc_id", "kind", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("w")).where("w <> ''")
+    bits = words.withColumn("h", F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long"))
+    votes = bits.groupBy("doc_id", "kind").agg(*(F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"b{i}") for i in range(32)))
+    whole = sum((F.when(F.col(f"b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(1, 32)), F.when(F.col("b0") > 0, F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    return matching.near_hashes(votes.select("doc_id", "kind", whole.alias("h")), ["kind"], "h", "doc_id", most=2, bits=32)
 
 
 def gap_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -101,11 +106,12 @@ def top_gross(spark: SparkSession, d: str) -> DataFrame:
 
 
 def header_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """The header of each file that every wanted field is taken from, and by which tier."""
-    files = table(spark, d, "upload_file").where("slot = 'census'").select("file_id", "slot")
+    """The header of each file that every wanted field of its slot is taken from, and by which tier."""
+    files = table(spark, d, "upload_file").select("file_id", "slot")
     cells = cell_tags(table(spark, d, "upload_row").select("file_id", "cells").join(files, "file_id"))
-    heads = cells.select("file_id", "header").distinct().withColumn("hdr_ord", F.col("header"))
-    return registers.map_headers(heads, ["file_id"], CENSUS)
+    heads = cells.select("file_id", "slot", "header").distinct().withColumn("hdr_ord", F.col("header"))
+    own = [registers.map_headers(heads.where(F.col("slot") == slot).drop("slot"), ["file_id"], wanted) for slot, wanted in (("census", CENSUS), ("proposal", PROPOSAL))]
+    return own[0].unionByName(own[1])
 
 
 def order_controls(spark: SparkSession, d: str) -> DataFrame:
@@ -167,10 +173,11 @@ def likely_reading(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roster_adopt(spark: SparkSession, d: str) -> DataFrame:
-    """Names on scanned registers taken from the census roster of their pack, each once."""
-    slips = table(spark, d, "paycheck").where("source like 'scanned%' and run = 'before'").select("pack_id", F.col("rec_id").alias("ord"), "name")
-    names = table(spark, d, "census").where("employee_last_name is not null").select("pack_id", F.col("rec_id").alias("ord"), F.concat_ws(" ", "employee_first_name", "employee_last_name").alias("name"))
-    return roster.adopted(slips, names, "pack_id")
+    """Names on scanned registers taken from the census roster of their pack, each once a run."""
+    at = F.concat_ws(" ", F.col("pack_id").cast("string"), "run").alias("register")
+    slips = table(spark, d, "paycheck").where("source like 'scanned%' and pack_id is not null and run is not null").select(at, F.col("rec_id").alias("ord"), "name")
+    names = table(spark, d, "census").where("employee_last_name is not null and pack_id is not null").withColumn("run", F.explode(F.array(F.lit("before"), F.lit("after")))).select(at, F.col("rec_id").alias("ord"), F.concat_ws(" ", "employee_first_name", "employee_last_name").alias("name"))
+    return roster.adopted(slips, names.join(slips.select("register").distinct(), "register", "left_semi"), "register")
 
 
 #: Labels of the statement pages.
@@ -231,7 +238,7 @@ o as (select doc_id, line_no as emp_ord, regexp_extract(line, '{_OWNER}', 1) as
 r as (select doc_id, emp_ord, name, id, period, line_no, code, replace(regexp_extract(line, '{_AMT}', 2), ',', '')::double as amount, replace(regexp_extract(line, '{_AMT}', 3), ',', '')::double as to_date
   from u join o using (doc_id, emp_ord) where code <> '')
 """
-_HDR = ", ".join(f"('{f}', {tier}, {i}, '{s}')" for f, own in CENSUS.items() for tier, i, s in [(1, 0, f.replace("_", " ")), *((2, i, s) for i, s in enumerate(own))])
+_HDR = ", ".join(f"('{slot}', '{f}', {tier}, {i}, '{s}')" for slot, wanted in (("census", CENSUS), ("proposal", PROPOSAL)) for f, own in wanted.items() for tier, i, s in [(1, 0, f.replace("_", " ")), *((2, i, s) for i, s in enumerate(own))])
 _SUM = "round(cast({x} as decimal(28,6)), 2)::double"
 _LABEL = "try_cast(replace(regexp_extract(text, '(?im)^[^\\n]*?{label}[^\\n0-9]*?(-?\\d[\\d,]*\\.\\d{{2}})', 1), ',', '') as double)"
 SQL = {
@@ -243,12 +250,12 @@ SQL = {
     "page_keys": "select sha256(concat_ws(chr(31), coalesce(text, ''), coalesce(kind, ''))) as page_key, count(*) as n, min(doc_id) as first_doc from documents group by all",
     "page_facts": f"select doc_id, regexp_extract(text, '(?i)\\bperiod\\b[^0-9\\n]{{0,20}}(\\d{{1,2}}/\\d{{1,2}}(?:/\\d{{2,4}})?)', 1) as period, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(text, '\\b(\\d{{4,9}})\\b', 1), regexp_extract_all(text, '\\b(\\d{{1,2}}/\\d{{1,2}}(?:/\\d{{2,4}})?)\\b', 1))))[1:8], '|') as tokens, {_LABEL.format(label='NET PAY')} as net, {_LABEL.format(label='GROSS PAY')} as gross from documents where text is not null",
     "folded_names": f"select rec_id, translate(replace(lower(name), 'rn', 'm'), '1it0d586q', 'llloosbgg') as folded, {reconcile._MATCHKEY} as match_key, case when net_pay is null then '-' else case when net_pay < 0 then '-$' else '$' end || format('{{:,.2f}}', abs(net_pay)) end as net from paycheck",
-    "near_page_match": "with p as (select a.doc_id, b.doc_id as near_id, bit_count(xor(a.n_chars, b.n_chars))::int as distance from documents a join documents b on a.kind = b.kind and a.doc_id <> b.doc_id and bit_count(xor(a.n_chars, b.n_chars)) <= 2) select doc_id, arg_min(near_id, (distance, near_id)) as near_id, min(distance) as distance from p group by all",
+    "near_page_match": "with w as (select distinct doc_id, kind, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as w from documents where kind is not null and text is not null), g as (select doc_id, kind, ('0x' || substring(md5(w), 1, 8))::bigint as h from w where w <> ''), v as (select doc_id, kind, " + " + ".join(f"case when sum(((h >> {i}) & 1) * 2 - 1) > 0 then {1 << i} else 0 end" for i in range(32)) + " as h from g group by all), p as (select a.doc_id, b.doc_id as near_id, bit_count(xor(a.h::bigint, b.h::bigint))::int as distance from v a join v b on a.kind = b.kind and a.doc_id <> b.doc_id and bit_count(xor(a.h::bigint, b.h::bigint)) <= 2) select doc_id, arg_min(near_id, (distance, near_id)) as near_id, min(distance) as distance from p group by all",
     "gap_islands": "with e as (select *, epoch_us(ts) / 1e6 as sec from events), g as (select *, case when sec - lag(sec) over (partition by user_id order by sec, event_id) > 21600 then 1 else 0 end as new from e), i as (select *, sum(new) over (partition by user_id order by sec, event_id rows between unbounded preceding and current row)::int as island from g) select user_id, island, count(*) as n, min(event_id) as first_event, epoch_us(min(ts)) as begin_us, epoch_us(max(ts)) as end_us from i group by all",
     "forward_fill": "select event_id, last_value(case when event_type = 'purchase' then value end ignore nulls) over (w rows between unbounded preceding and current row) as last_purchase, lead(event_type, 1) over w as next1, lead(event_type, 2) over w as next2, lead(event_type, 3) over w as next3 from events window w as (partition by user_id order by ts, event_id)",
     "moving_mean": "select event_id, round(avg(value) over (partition by user_id order by ts, event_id rows between 5 preceding and 5 following), 6) as mean from events",
     "top_rows": "select pack_id, rec_id, gross from (select *, row_number() over (partition by pack_id order by gross desc, rec_id) as n from paycheck where gross is not null) where n <= 24",
-    "header_mapping": f"with syn(field, tier, syn_ord, syn) as (values {_HDR}), h as (select distinct file_id, unnest(json_keys(cells)) as header from upload_row join upload_file using (file_id) where slot = 'census'), n as (select *, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) as p from h), m as (select file_id, header, field, tier, syn_ord from n join syn on p = syn union all select file_id, header, field, 3, syn_ord from n join syn on p <> syn and tier = 2 and contains(' ' || p || ' ', ' ' || syn || ' ')) select file_id, field, arg_min(header, (tier, syn_ord, header)) as header, min(tier) as tier from m group by all",
+    "header_mapping": f"with syn(slot, field, tier, syn_ord, syn) as (values {_HDR}), h as (select distinct file_id, slot, unnest(json_keys(cells)) as header from upload_row join upload_file using (file_id)), n as (select *, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) as p from h), m as (select file_id, header, field, tier, syn_ord from n join syn on p = syn and n.slot = syn.slot union all select file_id, header, field, 3, syn_ord from n join syn on n.slot = syn.slot and p <> syn and tier = 2 and contains(' ' || p || ' ', ' ' || syn || ' ')) select file_id, field, arg_min(header, (tier, syn_ord, header)) as header, min(tier) as tier from m group by all",
     "order_controls": "select o_orderkey as l_orderkey, 'price' as control, sum(l_extendedprice::decimal(18,2))::double as parsed, o_totalprice as printed, coalesce(abs(sum(l_extendedprice::decimal(18,2))::double - o_totalprice) <= 0.01, false) as ok from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey, o_totalprice",
     "field_coverage": "with u as (" + " union all ".join(f"select run, '{f}' as field, {f}::double as v from paycheck where {f} is not null" for f in estimate.FIELDS) + ") select run, field, count(*) as n, count(*) filter (v = 0) as zeros from u group by all",
     "table_coherence": f"with g as (select pack_id, abs(gross - total_deductions - net_pay) as gap from paycheck where gross is not null and total_deductions is not null and net_pay is not null) select pack_id, count(*) as n, count(*) filter (gap <= 0.02) as ties, max({_SUM.format(x='gap')}) as worst, count(*) >= 2 and count(*) filter (gap <= 0.02) >= greatest(2, floor(count(*) * 0.6)) as accepted from g group by all",
