@@ -83,3 +83,23 @@ def test_intervals_of_all_employees(spark, tiny):
     e = reconcile.measures(spark, tiny).where("gap is not null")
     assert got.count() == e.count() and got.join(e.where("abs(gap) <= 2"), ["pack_id", "id"]).count() > 0
     assert got.select(F.round(F.col("high") - F.col("low"), 2)).distinct().count() > 5
+
+
+def test_deviations(spark):
+    df = spark.createDataFrame([("gross", False, False), ("gross", True, None), ("fee", True, False), ("federal", True, True), (None, None, None)], "f string, d boolean, p boolean")
+    got = [r.sd for r in df.select(estimate.observation_sd(F.col("f"), {"gross": 0.2, "federal": 0.3}, F.col("d"), F.col("p")).alias("sd")).collect()]
+    assert got == [0.2, 0.4, 0.1, 0.05, 0.05]
+
+
+def test_decisive_readings_are_corrected_once(spark, tiny):
+    from tieout.queries import doubt, full
+
+    asked = doubt.uncertainty(spark, tiny)
+    assert asked.where("abs(identity_gap) <= 2").count() == 0
+    plain = {(r.pack_id, r.id): r for r in full.measures_all(spark, tiny).collect()}
+    got = doubt.corrected_measures(spark, tiny).collect()
+    assert {(r.pack_id, r.id) for r in got} == plain.keys() and len(got) == len(plain)
+    same = lambda r: all(r[c] == plain[r.pack_id, r.id][c] for c in full.MEASURES)
+    assert all(same(r) for r in got if not r.n_corrected)
+    changed = {(r.pack_id, r.id) for r in got if r.n_corrected}
+    assert changed <= {(r.pack_id, r.id) for r in asked.collect()}

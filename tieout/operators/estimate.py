@@ -303,6 +303,14 @@ def support_below(a: Column, threshold: float, steps: int = 100) -> Column:
     return F.coalesce(F.array_max(F.filter(degree, lambda g: a["low"] + g * (a["mid"] - a["low"]) < threshold)), F.lit(0.0))
 
 
+def observation_sd(field: Column, calibrated: Mapping[str, float], derived: Column, by_place: Column, default: float = READ_SD) -> Column:
+    """The deviation to give a reading: that of its field in a calibration, twice it for a figure derived from others, at
+    most the default for one read by its place on the page. Null flags are no."""
+    known = F.coalesce(F.try_element_at(F.create_map(*(x for k, v in calibrated.items() for x in (F.lit(k), F.lit(v)))), field), F.lit(default)) if calibrated else F.lit(default)
+    twice = F.when(F.coalesce(derived, F.lit(False)), known * 2).otherwise(known)
+    return F.when(F.coalesce(by_place, F.lit(False)), F.least(twice, F.lit(default))).otherwise(twice)
+
+
 def log_likelihood(value: Column, expected: Column, sd: Column) -> Column:
     """Of a reading under a normal expectation, but for a constant."""
     return -0.5 * F.pow((value - expected) / sd, F.lit(2.0))

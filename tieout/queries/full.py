@@ -17,13 +17,14 @@ CENSUS = {"employee_last_name": "c_last", "group_health_monthly": "c_health", "o
 FEDERAL_SHARE, STATE_SHARE, SS_SHARE, MEDICARE_SHARE, FICA_SHARE = 0.37, 0.10, 0.062, 0.0145, 0.0765
 
 
-def wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per census employee: the last census row, the first proposal row and the first statement of each run."""
+def wide(spark: SparkSession, d: str, statements: DataFrame | None = None) -> DataFrame:
+    """One row per census employee: the last census row, the first proposal row and the first statement of each run, of
+    ``statements`` where they are given (paycheck, corrected)."""
     c = table(spark, d, "census").select("pack_id", same_id("employee_id").alias("id"), "rec_id", t.pay_periods(F.col("pay_frequency")).alias("pp"), *(F.col(k).alias(v) for k, v in CENSUS.items()))
     out = matching.last_wins(c, ["pack_id", "id"], ["rec_id"]).where("id is not null and pack_id is not null").drop("position", "rec_id")
     p = table(spark, d, "proposal").select("pack_id", same_id("client_employee_id").alias("id"), "rec_id", *(F.col(k).alias(v) for k, v in PROMISE.items()))
     out = out.join(matching.first_wins(p, ["pack_id", "id"], ["rec_id"]).withColumnRenamed("rec_id", "e_rec"), ["pack_id", "id"], "left")
-    s = table(spark, d, "paycheck").select("pack_id", same_id("employee_id").alias("id"), "run", "rec_id", *RUN)
+    s = (table(spark, d, "paycheck") if statements is None else statements).select("pack_id", same_id("employee_id").alias("id"), "run", "rec_id", *RUN)
     for run in ("before", "after"):
         one = matching.first_wins(s.where(F.col("run") == run).drop("run"), ["pack_id", "id"], ["rec_id"])
         out = out.join(one.select("pack_id", "id", *(F.col(k).alias(f"{run[0]}_{k}") for k in ("rec_id", *RUN))), ["pack_id", "id"], "left")
@@ -34,10 +35,10 @@ def z(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(0.0))
 
 
-def measures_full(spark: SparkSession, d: str) -> DataFrame:
+def measures_full(spark: SparkSession, d: str, statements: DataFrame | None = None) -> DataFrame:
     """Every measure of an employee, per month: what payroll saved, charged and paid out, what the proposal said, and the
     gaps between. A measure is null where a figure that it needs isn't there."""
-    e = wide(spark, d)
+    e = wide(spark, d, statements)
     per = lambda x: m.per_month(x, F.col("pp"))
     saved = lambda k: per(F.col(f"b_{k}") - F.col(f"a_{k}"))
     fica = F.when(F.col("b_social_security").isNotNull() | F.col("b_medicare").isNotNull(), per((z("b_social_security") + z("b_medicare")) - (z("a_social_security") + z("a_medicare"))))
