@@ -19,7 +19,7 @@ def words_of_text(docs: DataFrame, doc: str = "doc_id", text: str = "text", widt
     # A word's place is the length of all before it: blanks are kept as their own pieces.
     parts = rows.select("doc", "page", "_l", F.posexplode(F.regexp_extract_all("_line", F.lit(r"(\s+|\S+)"), 1)).alias("_i", "_w"), F.regexp_extract_all("_line", F.lit(r"(\s+|\S+)"), 1).alias("_all"))
     start = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda a, w: a + F.length(w))
-    boxed = parts.where(F.trim("_w") != "").select("doc", "page", "_l", F.col("_w").alias("text"), (start * width).alias("x0"), (F.col("_l") * height).alias("y0"), ((start + F.length("_w")) * width).alias("x1"), (F.col("_l") * height + height * 0.8).alias("y1"))
+    boxed = parts.where(F.col("_w").rlike(r"\S")).select("doc", "page", "_l", F.col("_w").alias("text"), (start * width).alias("x0"), (F.col("_l") * height).alias("y0"), ((start + F.length("_w")) * width).alias("x1"), (F.col("_l") * height + height * 0.8).alias("y1"))
     return boxed.select("doc", "page", (F.col("_l") * 10_000 + (F.col("x0") / width).cast("int")).cast("int").alias("word_id"), "text", "x0", "y0", "x1", "y1", F.lit(1.0).alias("conf"))
 
 
@@ -33,7 +33,8 @@ def bands(y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
     members: list[list[float]] = []
     out = np.zeros(len(y0), int)
     for i in order:
-        near = [(abs(float(np.median(m)) - centre[i]), k) for k, m in enumerate(members[-3:], max(0, len(members) - 3))]
+        # Centres come in rising order, so a band's are sorted and its median is its middle.
+        near = [(abs((m[len(m) // 2] + m[(len(m) - 1) // 2]) / 2 - centre[i]), k) for k, m in enumerate(members[-3:], max(0, len(members) - 3))]
         best = min(near, default=(np.inf, 0))
         if best[0] <= reach:
             members[best[1]].append(float(centre[i]))

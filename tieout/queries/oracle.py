@@ -2,7 +2,7 @@
 
 from tieout.functions.headers import CENSUS, NUMBERS, PROPOSAL, SYNONYMS
 from tieout.operators import units
-from tieout.queries import columns, doubt, full, reconcile, reports, scalars, texts
+from tieout.queries import columns, doubt, full, pages, reconcile, reports, scalars, texts
 
 #: An id as functions.ids.same_id has it.
 _ID = r"nullif(regexp_extract(ltrim(regexp_replace(upper(regexp_replace(trim({c}), '\.0+\s*$', '')), '[^\p{{L}}\p{{N}}]', '', 'g'), '0'), '^.*[1-9].*$'), '')"
@@ -95,7 +95,7 @@ n as (select b.series_id, b.seq, b.field, unnest(list_filter(b.tags, lambda x: n
 select f.file_id, n.field, n.alternative, n.before from n join f on n.series_id = f.series_id and n.seq = f.seq
 """
 
-SQL: dict[str, str] = columns.SQL | doubt.SQL | full.SQL | reconcile.SQL | texts.SQL | reports.SQL | scalars.SQL | {
+SQL: dict[str, str] = columns.SQL | doubt.SQL | full.SQL | pages.SQL | reconcile.SQL | texts.SQL | reports.SQL | scalars.SQL | {
     "p4_found": _P4,
     "p4_unified": _P4U,
     "p4_alternatives": _P4A,
