@@ -47,7 +47,8 @@ def file_schemas(cells: DataFrame, file: str, synonyms: Column) -> DataFrame:
 
 def header_fields(cells: DataFrame, synonyms: Column) -> DataFrame:
     """(slot, header, plain, field): every different header of a wanted field, looked up once."""
-    heads = cells.groupBy("slot", "header").agg(F.lit(1).alias("_one")).drop("_one").withColumn("plain", plain_header(F.col("header")))
+    # Of the maximum, which is the header: a filter on a grouping column would be moved before the grouping, to every cell.
+    heads = cells.groupBy("slot", "header").agg(F.max("header").alias("_h")).withColumn("plain", plain_header(F.col("_h"))).drop("_h")
     return heads.withColumn("field", synonyms).where("field is not null")
 
 
