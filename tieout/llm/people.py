@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tieout.functions.ids import same_id
 from tieout.llm import names
+from tieout.plans.lineage import cut
 
 #: Figures that a repeated row of an employee carries again.
 FIGURES = ("group_health_monthly", "other_monthly_pretax", "retirement_401k_monthly")
@@ -34,14 +35,15 @@ def employee_groups(census: DataFrame) -> DataFrame:
     Only rows without an id are compared, over equi-joins on (pack, pay) and (pack, sound of the name), so no bucket
     is the square of a group: its other side is distinct spellings."""
     rows = census.select("pack_id", "rec_id", same_id("employee_id").alias("id"), _typed("employee_first_name", "employee_last_name").alias("typed"), F.col("gross_annual_taxable_wages").alias("pay"), *FIGURES)
+    sound = F.concat_ws("~", F.array_sort(F.transform(F.split(F.regexp_replace(F.lower("typed"), "[^a-z ]", ""), " +"), lambda t: F.soundex(t))))
+    # Ids and sounds are worked out once; all that follows reads them.
+    rows = cut(rows.withColumns({"sound": sound, "cents": F.round(F.col("pay") * 100).cast("long")}))
     known = rows.where("id is not null and pack_id is not null")
     label = known.groupBy("pack_id", "id").agg(F.min("rec_id").alias("group_id"))
     grouped = known.select("pack_id", "id", "rec_id").join(label, ["pack_id", "id"]).select("pack_id", "rec_id", "group_id", "id")
-    sound = F.concat_ws("~", F.array_sort(F.transform(F.split(F.regexp_replace(F.lower("typed"), "[^a-z ]", ""), " +"), lambda t: F.soundex(t))))
-    cents = F.round(F.col("pay") * 100).cast("long")
-    bare = rows.where("id is null and pack_id is not null").withColumns({"sound": sound, "cents": cents})
+    bare = rows.where("id is null and pack_id is not null")
     facts = ["typed", "pay", *FIGURES]
-    shapes = known.groupBy("pack_id", "id", *facts).agg(F.lit(1).alias("_one")).drop("_one").withColumns({"sound": sound, "cents": cents})
+    shapes = known.groupBy("pack_id", "id", *facts).agg(F.first("sound").alias("sound"), F.first("cents").alias("cents"))
     key = lambda df: df.withColumn("key", F.explode(F.array_compact(F.array(F.concat(F.lit("p"), "cents"), F.when(F.col("typed") != "", F.concat(F.lit("s"), "sound"))))))
     mine = bare.groupBy("pack_id", *facts, "sound", "cents").agg(F.min("rec_id").alias("shape"))
     theirs = key(shapes).select("pack_id", "key", "id", *(F.col(c).alias(f"their_{c}") for c in facts))
