@@ -177,6 +177,6 @@ def wide_words(box: Column, x0: Column, x1: Column) -> Column:
     width by where its letters stand in the text."""
     step = (x1 - x0) / F.greatest(F.length(box), F.lit(1))
     parts = F.split(box, " ")
-    begins = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, w: a + F.length(w) + 1))
+    begins = F.slice(F.aggregate(parts, F.array(F.lit(0)).cast("array<int>"), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w) + 1))), F.lit(1), F.size(parts))
     cut = F.zip_with(parts, begins, lambda w, b: F.struct(w.alias("word"), (x0 + b * step).alias("x0"), (x0 + (b + F.length(w)) * step).alias("x1")))
     return F.filter(cut, lambda w: w["word"] != "")

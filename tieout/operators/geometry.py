@@ -16,10 +16,13 @@ def words_of_text(docs: DataFrame, doc: str = "doc_id", text: str = "text", widt
     line a band. Pages end at form feeds."""
     pages = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\f")).alias("page", "_t"))
     rows = pages.select("doc", "page", F.posexplode(F.split("_t", "\r?\n")).alias("_l", "_line"))
-    # A word's place is the length of all before it: blanks are kept as their own pieces.
-    parts = rows.select("doc", "page", "_l", F.posexplode(F.regexp_extract_all("_line", F.lit(r"(\s+|\S+)"), 1)).alias("_i", "_w"), F.regexp_extract_all("_line", F.lit(r"(\s+|\S+)"), 1).alias("_all"))
-    start = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda a, w: a + F.length(w))
-    boxed = parts.where(F.col("_w").rlike(r"\S")).select("doc", "page", "_l", F.col("_w").alias("text"), (start * width).alias("x0"), (F.col("_l") * height).alias("y0"), ((start + F.length("_w")) * width).alias("x1"), (F.col("_l") * height + height * 0.8).alias("y1"))
+    # A word's place is the length of all before it: blanks are kept as their own pieces, lengths summed once a line.
+    pieces = rows.select("doc", "page", "_l", F.regexp_extract_all("_line", F.lit(r"(\s+|\S+)"), 1).alias("_all"))
+    starts = F.aggregate("_all", F.array(F.lit(0)).cast("array<int>"), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w))))
+    placed = F.filter(F.zip_with("_all", starts, lambda w, s: F.struct(w.alias("w"), s.alias("s"))), lambda x: x["w"].rlike(r"\S"))
+    parts = pieces.select("doc", "page", "_l", F.explode(placed).alias("_p"))
+    start, word = F.col("_p.s"), F.col("_p.w")
+    boxed = parts.select("doc", "page", "_l", word.alias("text"), (start * width).alias("x0"), (F.col("_l") * height).alias("y0"), ((start + F.length(word)) * width).alias("x1"), (F.col("_l") * height + height * 0.8).alias("y1"))
     return boxed.select("doc", "page", (F.col("_l") * 10_000 + (F.col("x0") / width).cast("int")).cast("int").alias("word_id"), "text", "x0", "y0", "x1", "y1", F.lit(1.0).alias("conf"))
 
 

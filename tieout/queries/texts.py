@@ -174,10 +174,11 @@ def likely_reading(spark: SparkSession, d: str) -> DataFrame:
 
 def roster_adopt(spark: SparkSession, d: str) -> DataFrame:
     """Names on scanned registers taken from the census roster of their pack, each once a run."""
-    at = F.concat_ws(" ", F.col("pack_id").cast("string"), "run").alias("register")
+    at = (F.col("pack_id") * 2 + F.when(F.col("run") == "after", 1).otherwise(0)).alias("register")
     slips = table(spark, d, "paycheck").where("source like 'scanned%' and pack_id is not null and run is not null").select(at, F.col("rec_id").alias("ord"), "name")
     names = table(spark, d, "census").where("employee_last_name is not null and pack_id is not null").withColumn("run", F.explode(F.array(F.lit("before"), F.lit("after")))).select(at, F.col("rec_id").alias("ord"), F.concat_ws(" ", "employee_first_name", "employee_last_name").alias("name"))
-    return roster.adopted(slips, names.join(slips.select("register").distinct(), "register", "left_semi"), "register")
+    found = roster.adopted(slips, names.join(slips.select("register").distinct(), "register", "left_semi"), "register")
+    return found.select(F.floor(F.col("register") / 2).cast("long").alias("pack_id"), F.when(F.pmod("register", F.lit(2)) == 1, "after").otherwise("before").alias("run"), "ord", "roster_ord", "score")
 
 
 #: Labels of the statement pages.
