@@ -74,11 +74,10 @@ def best_files(spark: SparkSession, d: str) -> DataFrame:
 def unread_pages(spark: SparkSession, d: str) -> DataFrame:
     """Per source, different pages that came in a later half of the time and that the store of the first half hasn't."""
     p = table(spark, d, "documents").where("text is not null and ingested_at is not null").select("source", "ingested_at", t.key_of(F.col("text")).alias("page_key"))
-    half = F.timestamp_micros(((F.unix_micros(F.min(F.col("ingested_at").cast("timestamp"))) + F.unix_micros(F.max(F.col("ingested_at").cast("timestamp")))) / 2).cast("long"))
-    cut = p.agg(half.alias("_half"))
-    at = p.crossJoin(F.broadcast(cut))
-    late = at.where("ingested_at > _half").select("source", "page_key").distinct()
-    return store.new_pages(late, at.where("ingested_at <= _half")).groupBy("source").agg(F.count("*").alias("n"))
+    span = p.agg(F.unix_micros(F.min(F.col("ingested_at").cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col("ingested_at").cast("timestamp"))).alias("b")).first()
+    at = p.withColumn("_late", F.unix_micros(F.col("ingested_at").cast("timestamp")) > F.lit(((span.a or 0) + (span.b or 0)) // 2))
+    late = at.where("_late").select("source", "page_key").distinct()
+    return store.new_pages(late, at.where("not _late")).groupBy("source").agg(F.count("*").alias("n"))
 
 
 QUERIES = {"people_tables": people_tables, "page_lines": page_lines, "page_scores": page_scores, "page_people": page_people, "header_rows": header_rows, "best_files": best_files, "unread_pages": unread_pages}
