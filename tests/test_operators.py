@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -147,6 +148,34 @@ def test_roster(spark):
     assert roster.name_score("", "x") == 0
 
 
+def test_roster_against_all_pairs(spark, monkeypatch):
+    """Names without a common start meet too, and squares of a register find what the whole does."""
+    rng = random.Random(4)
+    roll = [f"{''.join(rng.choice('kmrnet') + rng.choice('aio') for _ in range(2))} {''.join(rng.choice('lstrnd') + rng.choice('ae') for _ in range(3))}" for _ in range(40)]
+    dirt = lambda n: n[: (i := rng.randrange(len(n)))] + rng.choice("xq1rn0") + n[i + 1 :]
+    slips = ["Xeir Qorlow", *(dirt(dirt(rng.choice(roll))) for _ in range(60))]
+    roll = ["Keir Morlow", "Élan " + "rn" * 40, *roll, *roll[:5]]
+    fits = [(i, 1000 + k, s) for i, n in enumerate(slips) for k, c in enumerate(roll) if (s := roster.name_score(n, c)) >= 0.7]
+    want = {(1, *x) for x in roster.adopt(fits)}
+    read, names = ([(1, at + i, n) for i, n in enumerate(ns)] for at, ns in ((0, slips), (1000, roll)))
+    monkeypatch.setattr(roster, "SIDE", 17, raising=False)
+    got = roster.adopted(*(spark.createDataFrame(x, "w long, ord long, name string") for x in (read, names)), "w")
+    assert {tuple(r) for r in got.collect()} == want and (1, 0, 1000) in {x[:3] for x in want}
+
+
+def test_roster_bound_is_no_less(monkeypatch):
+    """What the bound lets through is all that scores enough, whatever is read at once, long names and "rn" among them."""
+    rng = random.Random(5)
+    name = lambda: " ".join("".join(rng.choice("rnmit0o5slad") for _ in range(rng.choice([1, 3, 6, 9, 70]))) for _ in range(rng.randint(1, 3)))
+    for cells in (1, 20, 1000):
+        monkeypatch.setattr(roster, "CELLS", cells)
+        for _ in range(20):
+            a = [name() for _ in range(6)]
+            b = [name() for _ in range(4)] + [rng.choice(a)[1:].strip() + "rn" for _ in range(5)]
+            want = {(i, k, s) for i, x in enumerate(a) for k, y in enumerate(b) if (s := roster.name_score(x, y)) >= 0.7}
+            assert set(roster.fits(a, b, 0.7)) == want
+
+
 def test_header_rows_and_mapping(spark):
     cells = spark.createDataFrame([("f", 0, ["Title", None, None, None]), ("f", 1, ["A", "B", "C", "D"]), ("g", 0, ["1", "2", "3", "4"])], "f string, row_ord int, cells array<string>")
     assert rowset(registers.header_row(cells, ["f"])) == [("f", 1), ("g", 0)]
