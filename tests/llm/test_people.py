@@ -179,6 +179,41 @@ def test_training_finds_what_letters_do_not(monkeypatch):
     assert trained >= first_hits(entities.Index(sample)) + 0.2
 
 
+SHAPES = "pack_id long, side int, shape long, name string, pays array<int>, size long"
+
+
+def test_index_is_of_all_records(spark, monkeypatch):
+    """Weights and the middle are those of every record, however they are cut into chunks and partitions."""
+    rng = random.Random(6)
+    sized = {1: 40, 2: 3, 3: 30}
+    rows = [(k, i % 2, 100 * k + i, f"{rng.choice(list(names.NICKNAMES))} {rng.choice('bdgk')}{rng.choice('aeio')}lund", [30000 + rng.randrange(20), -5] if i % 7 else [], n) for k, n in sized.items() for i in range(n)]
+    rows.append((2, 1, 299, "?", [], 3))
+    records = [entities.record_tokens(r[3], r[4]) for r in rows]
+    count = {t: sum(t in r for r in records) for t in {t for r in records for t in r if t[:2] != "p:"}}
+    monkeypatch.setattr(entities, "CHUNK", 35, raising=False)
+    shapes = spark.createDataFrame(rows, SHAPES)
+    index = entities.fitted(shapes.repartition(3))
+    assert index.weight == pytest.approx({t: math.log(1 + len(rows) / c) for t, c in count.items()}) and set(index.tokens) == set(count)
+    pays = np.array([p for r in rows for p in r[4]])
+    raw = index.raw([r[3] for r in rows], pays, np.cumsum([len(r[4]) for r in rows]))
+    assert np.allclose(index.middle, raw.mean(axis=0), atol=1e-5)
+    assert any(not np.allclose(v, index._scaled(t, entities.base_vector(t)), atol=1e-5) for t, v in index.tokens.items())
+    again = entities.fitted(shapes.orderBy("name").repartition(2))
+    assert all((again.tokens[t] == v).all() for t, v in index.tokens.items()) and (again.middle == index.middle).all()
+    assert entities.fitted(shapes.limit(0)).tokens == {}
+
+
+def test_every_record_is_in_a_chunk(spark, monkeypatch):
+    """Counted once; records of a pack that share a reading of pay are trained on together, also where it is split."""
+    monkeypatch.setattr(entities, "CHUNK", 10, raising=False)
+    rows = [(1, i % 2, i, f"n{i}", [i // 2, 1000 + i // 3], 60) for i in range(59)] + [(1, 0, 59, "n59", [], 60)] + [(2, 0, 60 + i, f"n{60 + i}", [i], 4) for i in range(4)]
+    got = entities.chunks(spark.createDataFrame(rows, SHAPES), len(rows)).collect()
+    assert sorted(r.name for r in got if r.own) == sorted(r[3] for r in rows) and len({r.chunk for r in got}) > 3
+    at = {r[3]: {x.chunk for x in got if x.name == r[3]} for r in rows}
+    assert all(at[x[3]] & at[y[3]] for x in rows for y in rows if x[0] == y[0] and set(x[4]) & set(y[4]))
+    assert len(set.union(*(at[f"n{60 + i}"] for i in range(4)))) == 1
+
+
 def test_confidence_is_calibrated(spark):
     """Pairs of a known share of matches in every band, whose pay agrees in four fifths of the matches."""
     rng = random.Random(5)
